@@ -75,5 +75,18 @@ pick AS (SELECT run.source, h, CASE WHEN budget <= 0 THEN false WHEN upto <= bud
 SELECT d.doc_id, size, source_size, target, (whole + more::BIGINT) * size AS taken
 FROM d JOIN g3 ON d.source IS NOT DISTINCT FROM g3.source JOIN pick ON d.source IS NOT DISTINCT FROM pick.source AND d.h = pick.h"""
 
-ORACLES = {"op5_sharding": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP1 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split(translate({_LOWER}, {_WS}, '     '), ' '), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.a = d.doc_id"""
+
+ORACLES = {"op1_near_dedup": OP1, "op5_sharding": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
 assert mixing.WEIGHTS == (5, 2, 1) and mixing.MOST == 3

@@ -30,7 +30,9 @@ def powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate(([1], np.full(max(n, CHUNK + 4096) - 1, base, np.uint64))).astype(np.uint64))
+            have = np.full(max(n, CHUNK + 4096), base, np.uint64)
+            have[0] = 1
+            np.cumprod(have, out=have)
         if len(have) <= 4 * CHUNK:
             _POWERS[base] = have
     return have[:n]
