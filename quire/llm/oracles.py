@@ -88,5 +88,17 @@ comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN comp ON comp.a = d.doc_id"""
 
-ORACLES = {"op1_near_dedup": OP1, "op5_sharding": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
+OP7 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT r, i + k AS p FROM dup, range(35) AS ks(k)),
+lost AS (SELECT r, list(p) AS ps, count(*) AS n FROM gone GROUP BY r),
+word AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d WHERE r IN (SELECT r FROM lost)),
+kept AS (SELECT r, array_to_string(list(x ORDER BY p), ' ') AS k FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN lost.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)"""
+
+ORACLES = {"op7_substring_dedup": OP7, "op1_near_dedup": OP1, "op5_sharding": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
 assert mixing.WEIGHTS == (5, 2, 1) and mixing.MOST == 3
