@@ -100,5 +100,12 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_remov
   sha256(CASE WHEN lost.n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(k, '') END) AS kept_sha256
 FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)"""
 
-ORACLES = {"op7_substring_dedup": OP7, "op1_near_dedup": OP1, "op5_sharding": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
+OP2 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x))
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+ORACLES = {"op2_topk": OP2, "op7_substring_dedup": OP7, "op1_near_dedup": OP1, "op5_sharding": OP5, "op9_quality_rules": OP9, "op10_mixing": OP10}
 assert mixing.WEIGHTS == (5, 2, 1) and mixing.MOST == 3
