@@ -1,5 +1,66 @@
-"""Placeholder stages."""
+"""From raw documents to packed training sequences.
+
+STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs.  All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
+from quire.llm.queries import TOKENIZER
+from quire.llm.scratch import Scratch, release
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars follows the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without the lines that fail."""
+    judged = quality_rules.judge(docs, only_kept=True)
+    return _measured(judged.withColumn("text", F.col("judgement.cleaned")).select(*docs.columns))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    release(spark)  # what earlier stages wrote has been read: docs is a table of its own
+    return near_dedup.deduplicated(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that repeat."""
+    release(spark)
+    return _measured(substring_dedup.without_repeats(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    release(spark)
+    return mixing.mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences with their token ids."""
+    release(spark)
+    return packing.packed(docs, packing.tokenizer_path(TOKENIZER)).withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [("quality rules", quality), ("near-dedup", near), ("substring dedup", substrings), ("mixing", mixed), ("packing", packed)]
+#: SQL cannot express the packing; the stages are tested one by one against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to the documents of sf_dir."""
+    scratch = Scratch(spark, "pipeline", lasting=True)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        done = scratch.table(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            scratch.drop(f"stage{k - 1}")
+        docs = done
+    return docs

@@ -30,7 +30,7 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
 win AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
 rep AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, i + k AS p FROM dup, range(3) AS ks(k)) GROUP BY r),
-lines AS (SELECT r, x, length(x) AS n, trim(x, ' ' || {_WS}) AS t, lower(left(trim(x, ' ' || {_WS}), 200)) AS low FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d)),
+lines AS (SELECT r, x, length(x) AS n, trim(x, ' ' || {_WS}) AS t, lower(trim(x, ' ' || {_WS})) AS low FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d)),
 byline AS (SELECT r, count(*) FILTER (WHERE t <> '') - count(DISTINCT x) FILTER (WHERE t <> '') AS dups, coalesce(sum(n + 1) FILTER (WHERE NOT ({_FAILS})), 0) AS kept_chars FROM lines GROUP BY r),
 base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(translate(text, ' ' || {_WS}, ''))::BIGINT AS word_chars,
   (length(text) - length(translate(text, '{rules.SYMBOLS}', '')))::BIGINT AS n_symbols, dups::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,

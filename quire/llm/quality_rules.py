@@ -43,7 +43,8 @@ def words(text: Column) -> Column:
 def repeated_words(w: Column) -> Column:
     """How many words stand in a three-word window that the text holds twice or more.
 
-    Windows are compared by a 64-bit hash: sorted with their places, equal neighbours are repeats."""
+    w: a lambda variable, for it is looked up for every word.  Windows are compared by a 64-bit hash: sorted with
+    their places, equal neighbours are repeats."""
     n = F.size(w)
     windows = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
 
@@ -52,41 +53,57 @@ def repeated_words(w: Column) -> Column:
         return F.sort_array(F.transform(same, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
-        return F.when(F.size(p) == 0, 0).otherwise(F.aggregate(F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, j: F.least(x - F.get(p, j), F.lit(3))), F.lit(3), lambda a, b: a + b))
+        gaps = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, j: F.least(x - F.get(p, j), F.lit(3)))
+        return F.when(F.size(p) == 0, 0).otherwise(F.aggregate(gaps, F.lit(3), lambda a, b: a + b))
 
     return _let(F.sort_array(windows), lambda s: _let(starts(s), covered))
 
 
 def line_fails(line: Column) -> Column:
-    """The rules on one line; a line without a word passes (it carries nothing)."""
+    """The rules on one line (a lambda variable); a line without a word passes (it carries nothing)."""
     n = F.length(line)
-    trimmed = F.btrim(line, F.lit(SPACES))
-    low = F.lower(F.substring(trimmed, 1, 200))
-    short = F.length(trimmed) < SHORT_LINE
     symbols = (n - _without(line, SYMBOLS)) > MAX_SYMBOLS * n
     shouts = (n - _without(line, "!")) > MAX_SHOUTS * n
     capitals = ((n - _without(line, UPPER)) > MAX_CAPITALS * n) & (n >= 10)
-    no_end = short & ~F.substring(trimmed, -1, 1).isin(*ENDS)
-    navigation = short & (F.rtrim(F.translate(low, ".!:", "")).isin(*NAVIGATION)) | ((n - _without(line, SEPARATORS)) >= MAX_SEPARATORS) & (F.length(trimmed) < 5 * SHORT_LINE)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | F.contains(low, F.lit(phrase))
-    return (F.length(trimmed) > 0) & (symbols | shouts | capitals | no_end | navigation | ((F.length(trimmed) < 5 * SHORT_LINE) & boilerplate))
-
-
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, lost_chars, kept and cleaned (the text without lines that fail) added."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.split(t, "\n", -1)
-    out = docs.withColumn("__w", words(F.col(text))).withColumn("__l", lines).withColumn("__k", F.filter(F.col("__l"), lambda x: ~line_fails(x)))
-    out = out.withColumn("n_words", F.size("__w").cast("long"))
-    out = out.withColumn("n_repeat_words", repeated_words(F.col("__w")).cast("long"))
-    worded = F.filter(F.col("__l"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    out = out.withColumn("n_dup_lines", _let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    out = out.withColumn("word_chars", _without(t, SPACES).cast("long")).withColumn("n_symbols", (F.length(t) - _without(t, SYMBOLS)).cast("long"))
-    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    out = out.withColumn("cleaned", F.array_join("__k", "\n"))
-    kept_chars = F.aggregate(F.col("__k"), F.lit(0), lambda a, x: a + F.length(x) + 1)
-    out = out.withColumn("lost_chars", (F.length(t) + 1 - kept_chars).cast("long"))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= MAX_LOST * F.length(t)))
-    return out.drop("__w", "__l", "__k")
+
+    def short_rules(trimmed: Column) -> Column:
+        low = F.lower(trimmed)
+        phrases = F.exists(F.array(*[F.lit(x) for x in BOILERPLATE]), lambda x: F.contains(low, x))
+        menu = F.rtrim(F.translate(low, ".!:", "")).isin(*NAVIGATION)
+        separators = (n - _without(line, SEPARATORS)) >= MAX_SEPARATORS
+        return (F.length(trimmed) < SHORT_LINE) & (~F.substring(trimmed, -1, 1).isin(*ENDS) | menu) | (F.length(trimmed) < 5 * SHORT_LINE) & (separators | phrases)
+
+    return _let(F.btrim(line, F.lit(SPACES)), lambda t: (F.length(t) > 0) & (symbols | shouts | capitals | short_rules(t)))
+
+
+def judgement(text: Column) -> Column:
+    """A struct of the measures of a text, the verdict, and the text without the lines that fail."""
+    t = F.coalesce(text, F.lit(""))
+    by_word = _let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
+
+    def by_line(lines: Column) -> Column:
+        worded = F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+        dups = _let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        passing = F.filter(lines, lambda x: ~line_fails(x))
+        return F.struct(dups.cast("long").alias("n_dup_lines"), F.array_join(passing, "\n").alias("cleaned"), _let(passing, F.size).alias("n_lines"))
+
+    def verdict(parts: Column) -> Column:
+        w, x = parts["w"], parts["l"]
+        failed = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEATED * w["n_words"])
+        lost = (F.length(t) - F.length(x["cleaned"]) + F.when(x["n_lines"] == 0, 1).otherwise(0)).cast("long")
+        return F.struct(
+            w["n_words"].alias("n_words"), _without(t, SPACES).cast("long").alias("word_chars"), (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+            x["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), lost.alias("lost_chars"),
+            (~failed & (lost <= MAX_LOST * F.length(t))).alias("kept"), x["cleaned"].alias("cleaned"),
+        )
+
+    return _let(F.struct(by_word.alias("w"), _let(F.split(t, "\n", -1), by_line).alias("l")), verdict)
+
+
+def judge(docs: DataFrame, text: str = "text", only_kept: bool = False) -> DataFrame:
+    """docs with a struct ``judgement`` added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    lost_chars, kept and cleaned (the text without the lines that fail). only_kept: rows that are kept.
+
+    The judgement is the element of an exploded array, so that no rule of the optimiser evaluates it twice."""
+    one = F.array(judgement(F.col(text)))
+    return docs.select("*", F.explode(F.filter(one, lambda j: j["kept"]) if only_kept else one).alias("judgement"))

@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_LASTING: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,11 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """The tables of one call of an operator. They stay until release() or the end of the process, for results are lazy."""
+    """The tables of one call of an operator. They stay until release() or the end of the process, for results are lazy.
 
-    def __init__(self, spark: SparkSession, name: str):
+    lasting: until the end of the process."""
+
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
         self.spark, self.path = spark, f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-        _MADE.append((spark, self.path))
+        (_LASTING if lasting else _MADE).append((spark, self.path))
 
     def table(self, frame: DataFrame, name: str) -> DataFrame:
         at = f"{self.path}/{name}"
@@ -54,7 +57,7 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in _MADE:
+    for spark, path in [*_MADE, *_LASTING]:
         try:
             if spark.sparkContext._jsc is not None:
                 _delete(spark, path)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm.scratch import Scratch
 from quire.llm.words import BASE, BASE_INV, chunks, hashed_words, mix, powers, runs_hashed
@@ -245,12 +246,23 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return out.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
 
 
+def _with_key(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, raw, starts in chunks(batch.column(text_at)):
+                words, _, _, first = hashed_words(raw, starts, lower=False)
+                key = _Spans(words)(first[:-1], first[1:]) if len(words) else np.zeros(high - low, np.uint64)
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(key.view(np.int64))], [*batch.schema.names, "__words_key"])
+
+    return run
+
+
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated passages cut out of the text; texts that lose nothing stay as they are."""
     _, cut = find_repeats(docs, doc_id, text)
-    # By id and text: an id may stand for several texts.
-    c = cut.select(F.col("doc_id").alias("__id"), F.col("words_key").alias("__key"), "kept_text")
-    keys = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_keyed, "doc_id long, words_key long, text string")
-    texts = keys.join(c, keys["doc_id"].eqNullSafe(F.col("__id")) & (keys["words_key"] == F.col("__key"))).select("__id", F.col("text").alias("__text"), "kept_text").dropDuplicates(["__id", "__text"])
-    out = docs.join(texts, docs[doc_id].eqNullSafe(F.col("__id")) & (docs[text] == F.col("__text")), "left")
-    return out.select(*[F.coalesce("kept_text", docs[c]).alias(c) if c == text else docs[c] for c in docs.columns])
+    cut = cut.select(F.col("doc_id").alias("__id"), F.col("words_key").alias("__key"), F.col("kept_text").alias("__kept"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("__words_key", T.LongType())])
+    keyed = docs.mapInArrow(_with_key(docs.columns.index(text)), schema)
+    out = keyed.join(cut, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.col("__words_key") == F.col("__key")), "left")
+    return out.select(*[F.coalesce("__kept", F.col(c)).alias(c) if c == text else F.col(c) for c in docs.columns])
