@@ -1,0 +1,12 @@
+import pytest
+
+from quire.llm import queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_oracle(name, same):
+    same(queries.queries()[name], queries.oracle_sql()[name])
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
