@@ -58,7 +58,8 @@ def s6(t):
     return layout.over_cap(layout.parse(_raw(t)), ["doc_id", "page_idx"], 16)
 
 
-_UNIT = [(F.col(c) / 1000).cast("float") for c in ("x0", "y0", "x1", "y1")]
+def _unit():
+    return tuple((F.col(c) / 1000).cast("float") for c in ("x0", "y0", "x1", "y1"))
 
 
 @query("c5_bbox_validation", "blocks", sql="SELECT doc_id, page_idx, block_idx, x0 - 100 >= 0 AND x0 - 100 < x1 - 100 AND x1 + 50 <= 1000 AND x0 - 100 < x1 + 50 AND y0 < y1 AS valid FROM blocks")
@@ -69,7 +70,7 @@ def c5(t):
 
 @query("c6_point_projection", "blocks", sql="SELECT doc_id, page_idx, block_idx, " + ", ".join(f"trunc(({c}::DOUBLE / 1000)::FLOAT * {s}::FLOAT)::INTEGER AS p{c}" for c, s in (("x0", 595.28), ("y0", 841.89), ("x1", 595.28), ("y1", 841.89))) + " FROM blocks")
 def c6(t):
-    p = g.points(tuple(_UNIT), F.lit(595.28), F.lit(841.89))
+    p = g.points(_unit(), F.lit(595.28), F.lit(841.89))
     return t.blocks.select("doc_id", "page_idx", "block_idx", *[c.alias(n) for c, n in zip(p, ("px0", "py0", "px1", "py1"), strict=True)])
 
 
@@ -90,7 +91,7 @@ def c8(t):
 @query("c9_semantic_crop", "blocks", sql="""SELECT doc_id, page_idx, block_idx, x AS cx, y AS cy, rr - x AS cw, bb - y AS ch FROM (SELECT *, least(greatest(ceil((x1::DOUBLE / 1000)::FLOAT * 1036::FLOAT), x + 1), 1036)::INTEGER AS rr, least(greatest(ceil((y1::DOUBLE / 1000)::FLOAT * 777::FLOAT), y + 1), 777)::INTEGER AS bb
   FROM (SELECT *, greatest(least(floor((x0::DOUBLE / 1000)::FLOAT * 1036::FLOAT), 1035), 0)::INTEGER AS x, greatest(least(floor((y0::DOUBLE / 1000)::FLOAT * 777::FLOAT), 776), 0)::INTEGER AS y FROM blocks))""")
 def c9(t):
-    r = g.crop(tuple(_UNIT), F.lit(1036), F.lit(777))
+    r = g.crop(_unit(), F.lit(1036), F.lit(777))
     return t.blocks.select("doc_id", "page_idx", "block_idx", *[c.alias(n) for c, n in zip(r, ("cx", "cy", "cw", "ch"), strict=True)])
 
 

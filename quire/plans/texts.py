@@ -10,7 +10,11 @@ from quire.plans.registry import query
 _WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _TRIM = f"trim(s, {_WS})"
 _DEC = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
-S = F.col("s")
+
+
+def S():
+    return F.col("s")
+
 
 
 def scalar(name: str, f, sql: str, out: str = "out"):
@@ -18,7 +22,7 @@ def scalar(name: str, f, sql: str, out: str = "out"):
 
     @query(name, "marked", sql=f"SELECT doc_id, {sql} AS {out} FROM marked")
     def run(t):
-        return t.marked.select("doc_id", f(S).alias(out))
+        return t.marked.select("doc_id", f(S()).alias(out))
 
     return run
 
@@ -55,7 +59,7 @@ scalar("f24_full_width_folding", lambda c: F.concat_ws("|", text.fold_alnum(c),
 
 @query("f25_continuation_marker", "marked", sql=f"SELECT doc_id, contains(f, '(continued)') OR {_ENDS} AS out FROM (SELECT doc_id, {_FOLD_ALL} AS f FROM marked)")
 def f25(t):
-    return t.marked.select("doc_id", text.is_continued(S).alias("out"))
+    return t.marked.select("doc_id", text.is_continued(S()).alias("out"))
 
 
 scalar("f26_title_whitespace", text.compact, r"trim(regexp_replace(s, '\s+', ' ', 'g'))")
@@ -83,13 +87,13 @@ def _fields(name: str, sql_name: str) -> str:
 
 @query("f13_class_output_fields", "marked", sql="SELECT doc_id, " + ", ".join(_fields(n, r"sub[\s_-]*class" if n == "sub_class" else n) for n in ("class", "sub_class", "caption", "content")) + " FROM marked")
 def f13(t):
-    return t.marked.select("doc_id", *[text.field(S, n).alias(n) for n in ("class", "sub_class", "caption", "content")])
+    return t.marked.select("doc_id", *[text.field(S(), n).alias(n) for n in ("class", "sub_class", "caption", "content")])
 
 
 @query("f14_class_application", "marked", sql=f"""SELECT doc_id, CASE WHEN c IN ('pure_table', 'table') THEN 'table' WHEN c IN ('pure_formula', 'formula', 'equation') THEN 'equation' WHEN c = 'chart' THEN 'chart' ELSE 'image' END AS kind
   FROM (SELECT doc_id, translate(lower(trim(regexp_replace(class, '\\s+', ' ', 'g'))), ' -', '__') AS c FROM (SELECT doc_id, {_fields('class', 'class')} FROM marked)) WHERE c IS NOT NULL""")
 def f14(t):
-    c = t.marked.select("doc_id", text.field(S, "class").alias("c")).filter("c is not null")
+    c = t.marked.select("doc_id", text.field(S(), "class").alias("c")).filter("c is not null")
     return c.select("doc_id", text.applied_kind(F.col("c")).alias("kind"))
 
 
@@ -101,38 +105,43 @@ _TOKENS = r"SELECT doc_id, unnest(range(len(p))) AS i, unnest(p) AS x FROM (SELE
 
 @query("w6_repeated_lines", "marked", sql=_RUNS.format(most=4, out="repeated", items=_LINES))
 def w6(t):
-    return t.marked.select("doc_id", text.repeated_lines(S).alias("repeated"))
+    return t.marked.select("doc_id", text.repeated_lines(S()).alias("repeated"))
 
 
 @query("w6_repeated_tokens", "marked", sql=_RUNS.format(most=6, out="repeated", items=_TOKENS))
 def w6b(t):
-    return t.marked.select("doc_id", text.repeated_tokens(S).alias("repeated"))
+    return t.marked.select("doc_id", text.repeated_tokens(S()).alias("repeated"))
 
 
 @query("f42_quality_failure", "marked", sql=rf"""SELECT m.doc_id, CASE WHEN {_TRIM} = '' THEN 'blank' WHEN contains(s, chr(65533)) THEN 'replacement-character' WHEN regexp_matches(s, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'control-character' WHEN l.r OR k.r THEN 'repetition' END AS failure
   FROM marked m JOIN ({_RUNS.format(most=4, out='r', items=_LINES)}) l USING (doc_id) JOIN ({_RUNS.format(most=6, out='r', items=_TOKENS)}) k USING (doc_id)""")
 def f42(t):
-    return t.marked.select("doc_id", text.quality_failure(S).alias("failure"))
+    return t.marked.select("doc_id", text.quality_failure(S()).alias("failure"))
+
+
+
+
+def N():
+    return F.col("name")
 
 
-N = F.col("name")
 _SAFE = r"""regexp_replace(name, '[\x00-\x1f\x7f-\x{9f}/\\<>:"|?*]', '_', 'g')"""
 _DEVICE = "(lower(string_split({0}, '.')[1]) IN ('con', 'prn', 'aux', 'nul') OR regexp_matches(lower(string_split({0}, '.')[1]), '^(com|lpt)[1-9]$'))"
 
 
 @query("f45_stem_sanitiser", "names", sql=f"SELECT id, safe, CASE WHEN {_DEVICE.format('stem')} THEN NULL ELSE stem END AS canonical FROM (SELECT id, {_SAFE} AS safe, coalesce(nullif(regexp_replace({_SAFE}, '[. ]+$', ''), ''), 'document') AS stem FROM names)")
 def f45(t):
-    return t.names.select("id", text.safe_stem(N).alias("safe"), text.canonical_stem(N).alias("canonical"))
+    return t.names.select("id", text.safe_stem(N()).alias("safe"), text.canonical_stem(N()).alias("canonical"))
 
 
 @query("c20_portable_names", "names", sql=f"SELECT id, name <> '' AND NOT regexp_matches(name, '[. ]$') AND {_SAFE} = name AND NOT {_DEVICE.format('name')} AS portable FROM names")
 def c20(t):
-    return t.names.select("id", text.is_portable(N).alias("portable"))
+    return t.names.select("id", text.is_portable(N()).alias("portable"))
 
 
 @query("f58_relative_path", "names", sql="SELECT id, array_to_string(list_filter(string_split(name, '/'), lambda x: x <> '.'), '/') AS path FROM names")
 def f58(t):
-    return t.names.select("id", text.relative_path(N).alias("path"))
+    return t.names.select("id", text.relative_path(N()).alias("path"))
 
 
 @query("f57_model_candidates", "names", sql="SELECT suffix, array_to_string(list_sort(list_distinct(list_filter(list(trim(name)), lambda x: x <> ''))), ',') AS names FROM names GROUP BY suffix")
