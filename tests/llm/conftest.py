@@ -20,7 +20,7 @@ def documents():
     rows += [(20, base[1], "en", "s0"), (21, base[1], "en", None), (22, " ".join(near), "fr", "s1"), (23, base[2].upper(), "en", "s1")]
     rows += [(30, base[3] + "\n" + passage, "de", "s2"), (31, passage + "\n" + prose(60, 60), "de", "s2")]
     rows += [(40, None, None, "s0"), (41, "", "en", None), (42, "  \n\t ", "en", "s1"), (43, "one two three", "en", "s1"), (44, "One TWO three", "en", "s1"), (45, "same same same same same same same same " * 8, "en", "s0")]
-    rows += [(None, base[4], "en", "s0"), (50, base[5], "en", "s0"), (50, base[5], "en", "s0"), (60, "ünï-cødé \x0b\x0c été " * 20, "fr", "s9"), (70, prose(70, 4000), "en", "s9")]
+    rows += [(None, base[4], "en", "s0"), (50, prose(55, 120), "en", "s0"), (50, prose(55, 120), "en", "s0"), (60, "ünï-cødé \x0b\x0c été " * 20, "fr", "s9"), (70, prose(70, 4000), "en", "s9")]
     return rows
 
 
