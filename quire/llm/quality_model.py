@@ -1,7 +1,7 @@
 """Quality classifier: naive Bayes support vectors.
 
 A text is the set of its n-grams: of character classes (one to three), of words (one and two, hashed), and of how
-much its words and word triples repeat.  Indicators are scaled by the log ratio of their smoothed shares in the two
+much its words and word triples repeat, and words their predecessors.  Indicators are scaled by the log ratio of their smoothed shares in the two
 classes, and a linear hinge-loss model is fitted on them by dual coordinate descent.  Margins become scores by a
 logistic fit on a fifth of the sample that the model does not see.
 
@@ -42,7 +42,7 @@ CLASSES = 8 + len(_MARKS)
 _ONE, _TWO, _THREE = 0, CLASSES, CLASSES + CLASSES**2
 _WORDS = _THREE + CLASSES**3
 _REPEATS = _WORDS + (1 << WORD_BITS)
-FEATURES = _REPEATS + 24
+FEATURES = _REPEATS + 36
 
 
 def feature_sets(raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
@@ -63,6 +63,7 @@ def feature_sets(raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
         flags[_WORDS + (p & mask).astype(np.int64)] = True
         for j, run in enumerate((w, t)):
             flags[_REPEATS + 12 * j + (11 if not len(run) else int(10 * len(np.unique(run)) / len(run)))] = True
+        flags[_REPEATS + 24 + (11 if len(w) < 2 else int(10 * (w[1:] == w[:-1]).mean()))] = True
         found = np.flatnonzero(flags)
         flags[found] = False
         out.append(found)
