@@ -5,12 +5,12 @@
 2. Documents with equal sets are one class; its least id stands for it, so copies are never compared.
 3. Representatives that share a band key are candidates.  In each bucket they are first compared with one hub only;
    after each such round the components are found, and buckets that lie within one component are done.  Once the
-   buckets left are small against their rows, all pairs between different components are compared, whatever they are.
+   pairs between different components are few for the number of texts, they are all compared, whatever they are.
 4. A pair's sketches are compared BATCH hashes at a time; it is dropped as soon as the posterior probability (uniform
    prior) that its similarity reaches the threshold falls below MISS.  Survivors are confirmed on their full sets.
 
-A pair at the threshold itself is missed with a probability of about (1 - 0.75**ROWS)**BANDS + MISS * SKETCH / BATCH
-= 1e-5; above it, far less.  Shingles are compared by 64-bit hashes.
+A pair at the threshold itself is missed with a probability of about 7e-5: that of sharing fewer than LEAST_BANDS of
+BANDS keys, each with 0.75**ROWS, plus MISS for each batch.  At a similarity of 0.8 it is below 1e-6.  Shingles are compared by 64-bit hashes.
 
 Null and empty texts have no shingles and are linked with nothing.  Rows without an id take no part in links
 (component null, kept true).  Rows that repeat an id are one document: a link of one of its texts links the id, and
@@ -35,8 +35,10 @@ WIDTH = 5
 THRESHOLD = (75, 100)
 BANDS, ROWS = 64, 6
 SKETCH, BATCH, MISS = 256, 32, 1e-6
-#: All pairs of the mixed buckets are compared once there are fewer than so many for each of their rows.
-DENSE, MOST_ROUNDS = 16, 8
+#: All pairs of mixed buckets are compared once there are at most so many for each representative, or after so many rounds.
+DENSE, MOST_ROUNDS = 256, 3
+#: Of those, the pairs that share fewer band keys are not looked at: at the threshold they share eleven on average.
+LEAST_BANDS = 2
 _RNG = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,6 +159,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sketches = reps.select("node", "sketch")
     band_rows = reps.select("node", F.explode("bands").alias("band"))
     shared = band_rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("band")
+    shared = scratch.table(shared, "shared")
     buckets = scratch.table(band_rows.join(shared, "band").distinct(), "buckets")
 
     def verified(pairs: DataFrame, best: bool, name: str) -> DataFrame:
@@ -177,16 +180,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return out
 
     links, found, open_ = None, None, buckets.withColumn("component", F.col("node"))
+    scratch.settle("features", "shared")
+    n_reps = reps.count()
     for k in range(MOST_ROUNDS + 1):
-        spread = open_.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        mixed = scratch.table(open_.join(spread.select("band", "n"), "band"), f"mixed-{k}")
-        rows, pairs = mixed.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if not rows:
+        parts = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
+        spread = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).filter("parts > 1")
+        spread = scratch.table(spread.select("band", (F.col("n") * F.col("n") - F.col("within")).alias("across")), f"spread-{k}")
+        across = spread.agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
+        if not across:
             break
-        last = k == MOST_ROUNDS or (k > 0 and pairs <= DENSE * rows)
+        mixed = scratch.table(open_.join(spread.select("band"), "band"), f"mixed-{k}")
+        last = k == MOST_ROUNDS or (k > 0 and across <= 2 * DENSE * n_reps)
         if last:
             other = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-            tried = mixed.join(other, "band").filter(F.col("component") > F.col("other")).select(F.col("node").alias("a"), "b").distinct()
+            tried = mixed.join(other, "band").filter(F.col("component") > F.col("other")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
+            tried = tried.filter(F.col("shared") >= LEAST_BANDS).select("a", "b")
         else:
             # The least node is the hub of the first round; other rounds take other hubs, dealt by bucket.
             order = F.col("node") if k == 0 else F.xxhash64("node", "band", F.lit(k))
@@ -197,6 +205,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         found = scratch.table(components(links, scratch, f"components-{k}"), f"found-{k}")
         if last:
             break
+        scratch.settle(f"round-{k}-candidates", f"spread-{k}")
         open_ = mixed.select("band", "node").join(found, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     if found is None:
         found = members.select("node", F.col("node").alias("component")).limit(0)

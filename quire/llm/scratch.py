@@ -7,6 +7,7 @@ Tables are Parquet, so a lost executor costs the rereading of files, never the r
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,13 @@ class Scratch:
         """For a table that nothing will read again."""
         _delete(self.spark, f"{self.path}/{name}")
 
+    def settle(self, *names: str) -> None:
+        """Drop tables that nothing will read again, and let Spark's cleaner remove the shuffle files of finished steps."""
+        for name in names:
+            self.drop(name)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def _delete(spark: SparkSession, path: str) -> None:
     jvm, sc = spark.sparkContext._jvm, spark.sparkContext
