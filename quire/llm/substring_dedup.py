@@ -208,6 +208,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     runs = summaries.select("doc_id", "words_key", F.explode(F.arrays_zip("phrase", "run", "a", "z")).alias("r")).select("doc_id", "words_key", "r.*")
     often = runs.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
+    often = scratch.table(often, "often")  # on its own, so that a frequent phrase's rows can be split in the join
     runs = scratch.table(runs.join(often, "phrase"), "runs")
     kinds = runs.groupBy("phrase", "run").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "words_key", "a", "z")).alias("one"))
     kinds = scratch.table(kinds, "kinds")
@@ -225,6 +226,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     held = scratch.table(
         keyed.join(found, same(keyed, found)).select(keyed["doc_id"], keyed["words_key"], "text", "least", "whole", "apart"), "held"
     )
+    scratch.settle("often", "runs", "kinds")
     single = held.filter(F.size("apart") > 0).select("doc_id", "words_key", "text", "apart").mapInArrow(_single_windows, "h long, doc_id long, words_key long, s int")
     single = scratch.table(single, "single")
     again = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
