@@ -103,6 +103,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     limit = thresholds(sized, part, scratch).select(F.col("source").alias("t_source"), "below")
     goal = goal.join(limit, F.col("source").eqNullSafe(F.col("t_source")), "left")
     goal = goal.select(F.col("source").alias("g_source"), "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
+    goal = scratch.table(goal, "goal")  # one row a source: its size as a file decides whether it is broadcast
     out = sized.join(goal, F.col("source").eqNullSafe(F.col("g_source")))
     copies = F.col("whole") + (F.col("h") < F.col("below")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
