@@ -9,8 +9,8 @@
 4. A pair's sketches are compared BATCH hashes at a time; it is dropped as soon as the posterior probability (uniform
    prior) that its similarity reaches the threshold falls below MISS.  Survivors are confirmed on their full sets.
 
-A pair at the threshold itself is missed with a probability of about 7e-5: that of sharing fewer than LEAST_BANDS of
-BANDS keys, each with 0.75**ROWS, plus MISS for each batch.  At a similarity of 0.8 it is below 1e-6.  Shingles are compared by 64-bit hashes.
+All pairs are compared inside cells of a bucket, so only pairs that survive become rows.  A pair at the threshold itself
+is missed with a probability of about (1 - 0.75**ROWS)**BANDS + MISS * SKETCH / BATCH = 1e-5; above it, far less.  Shingles are compared by 64-bit hashes.
 
 Null and empty texts have no shingles and are linked with nothing.  Rows without an id take no part in links
 (component null, kept true).  Rows that repeat an id are one document: a link of one of its texts links the id, and
@@ -37,8 +37,8 @@ BANDS, ROWS = 64, 6
 SKETCH, BATCH, MISS = 256, 32, 1e-6
 #: All pairs of mixed buckets are compared once there are at most so many for each representative, or after so many rounds.
 DENSE, MOST_ROUNDS = 256, 3
-#: Of those, the pairs that share fewer band keys are not looked at: at the threshold they share eleven on average.
-LEAST_BANDS = 2
+#: Texts of a bucket that one cell compares; larger buckets are cut into cells of two blocks.
+CELL = 2048
 _RNG = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -129,6 +129,51 @@ def _pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(matches)], ["a", "b", "matches"])
 
 
+def _compared(cell: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+    """The pairs of a cell between different components that no batch of hashes rules out; of two blocks, pairs across them."""
+    nodes, parts, blocks = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+    sketch = np.frombuffer(b"".join([r[3] for r in rows]), np.uint8).reshape(-1, SKETCH)
+    least = [least_matches(n) for n in range(BATCH, SKETCH + 1, BATCH)]
+    out = []
+    for i in range(len(rows) - 1):
+        other = parts[i + 1 :] != parts[i]
+        if cell[1] != cell[2]:
+            other &= blocks[i + 1 :] != blocks[i]
+        alive = np.flatnonzero(other) + i + 1
+        matches = np.zeros(len(alive), np.int64)
+        for k, m in enumerate(least):
+            if not len(alive):
+                break
+            cut = slice(k * BATCH, (k + 1) * BATCH)
+            matches = matches + (sketch[alive, cut] == sketch[i, cut]).sum(1)
+            stay = matches >= m
+            alive, matches = alive[stay], matches[stay]
+        out += [(max(nodes[i], j), min(nodes[i], j)) for j in nodes[alive].tolist()]
+    return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) of the survivors of each cell; rows (band, c1, c2, node, component, block, sketch) come sorted by cell."""
+    now, rows, found = None, [], []
+
+    def send() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for r in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            if r[:3] != now:
+                if len(rows) > 1:
+                    found += _compared(now, rows)
+                now, rows = r[:3], []
+            rows.append(r[3:])
+        if found:
+            yield send()
+            found = []
+    if len(rows) > 1:
+        found = _compared(now, rows)
+        yield send()
+
+
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, text of a, text of b) that are linked."""
     num, den = THRESHOLD
@@ -162,13 +207,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = scratch.table(shared, "shared")
     buckets = scratch.table(band_rows.join(shared, "band").distinct(), "buckets")
 
-    def verified(pairs: DataFrame, best: bool, name: str) -> DataFrame:
-        """The links among candidate pairs (a, b); best: only each a's likeliest partner is tried."""
+    def starred(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b) with hubs b, each a's likeliest, if its sketches allow it."""
         x = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x"))
         y = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y"))
         left = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_pruned, "a long, b long, matches long")
-        if best:
-            left = left.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
+        return left.groupBy("a").agg(F.max_by("b", F.struct("matches", -F.col("b"))).alias("b"))
+
+    def crossed(mixed: DataFrame, spread: DataFrame) -> DataFrame:
+        """All pairs (a, b) between components of the mixed buckets that their sketches allow."""
+        rows = mixed.join(spread.select("band", F.ceil(F.col("n") / CELL).cast("int").alias("cells")), "band").join(sketches, "node")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")).withColumn("peer", F.explode(F.expr("sequence(0, cells - 1)")))
+        rows = rows.select("band", F.least("block", "peer").alias("c1"), F.greatest("block", "peer").alias("c2"), "node", "component", "block", "sketch")
+        rows = rows.repartition("band", "c1", "c2").sortWithinPartitions("band", "c1", "c2")
+        return rows.mapInArrow(_cells, "a long, b long").distinct()
+
+    def verified(left: DataFrame, name: str) -> DataFrame:
+        """The links among candidate pairs (a, b), confirmed on their full sets."""
         left = scratch.table(left.select("a", "b"), f"{name}-candidates")
         ids = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         some = scratch.table(texts.join(ids, "doc_id", "left_semi").distinct(), f"{name}-texts")
@@ -185,22 +240,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     for k in range(MOST_ROUNDS + 1):
         parts = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
         spread = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"), F.count("*").alias("parts")).filter("parts > 1")
-        spread = scratch.table(spread.select("band", (F.col("n") * F.col("n") - F.col("within")).alias("across")), f"spread-{k}")
+        spread = scratch.table(spread.select("band", "n", (F.col("n") * F.col("n") - F.col("within")).alias("across")), f"spread-{k}")
         across = spread.agg(F.coalesce(F.sum("across"), F.lit(0))).first()[0]
         if not across:
             break
         mixed = scratch.table(open_.join(spread.select("band"), "band"), f"mixed-{k}")
         last = k == MOST_ROUNDS or (k > 0 and across <= 2 * DENSE * n_reps)
         if last:
-            other = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-            tried = mixed.join(other, "band").filter(F.col("component") > F.col("other")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
-            tried = tried.filter(F.col("shared") >= LEAST_BANDS).select("a", "b")
+            new = verified(crossed(mixed, spread), f"round-{k}")
         else:
             # The least node is the hub of the first round; other rounds take other hubs, dealt by bucket.
             order = F.col("node") if k == 0 else F.xxhash64("node", "band", F.lit(k))
             hubs = mixed.groupBy("band").agg(F.min_by(F.struct("node", "component"), order).alias("hub"))
             tried = mixed.join(hubs, "band").filter(F.col("component") != F.col("hub.component")).select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
-        new = verified(tried, not last, f"round-{k}")
+            new = verified(starred(tried), f"round-{k}")
         links = new if links is None else links.unionByName(new)
         found = scratch.table(components(links, scratch, f"components-{k}"), f"found-{k}")
         if last:
