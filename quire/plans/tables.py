@@ -76,27 +76,27 @@ def f31(t):
     return t.pages.select("page_id", tables.unescape_udf("html").alias("html"))
 
 
-@query("f7_left_right_balance")
+@query("f7_left_right_balance", "marked")
 def f7(t):
     return t.marked.select("doc_id", formulas.balance_sides_udf(F.concat("s", F.lit("\\left( x \\right) \\right]"))).alias("s"))
 
 
-@query("f8_unmatched_braces")
+@query("f8_unmatched_braces", "marked")
 def f8(t):
     return t.marked.select("doc_id", formulas.drop_unmatched_braces_udf(F.concat(F.lit("{a \\{ b} } "), "s")).alias("s"))
 
 
-@query("f6_equation_normaliser")
+@query("f6_equation_normaliser", "marked")
 def f6(t):
     return t.marked.select("doc_id", formulas.normalise_udf("s").alias("s"))
 
 
-@query("f11_blank_underscores")
+@query("f11_blank_underscores", "marked")
 def f11(t):
     return t.marked.select("doc_id", formulas.move_blanks_udf(F.concat("s", F.lit(" \\(a ___ b\\)"))).alias("s"))
 
 
-@query("f42_whole_text_period")
+@query("f42_whole_text_period", "marked")
 def f42(t):
     return t.marked.select("doc_id", formulas.period_udf("s").alias("periodic"))
 

@@ -79,6 +79,15 @@ scalar("f51_digests", lambda c: F.concat(F.sha2(c, 256), F.lit("/"), F.upper(F.m
 scalar("f12_list_item_bullets", text.list_item, "ltrim(regexp_replace(s, '^[-*• ]+', ''))")
 scalar("a19_markdown_quality", lambda c: text.markdown_reason(c, 250), rf"CASE WHEN {_TRIM} = '' THEN 'empty_markdown' WHEN strlen(s) > 250 THEN 'output_limit' WHEN contains(s, chr(65533)) OR regexp_matches(s, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'garbled_markdown' WHEN len(regexp_extract_all({_TRIM}, '[\p{{L}}\p{{N}}]')) < 4 THEN 'low_quality' END")
 
+#: The bytes of a document that the reference's workers accept (command/service.rs:331).
+_OUTPUT = 64 << 20
+
+
+@query("a19_document_quality", sql=rf"SELECT doc_id, CASE WHEN {_TRIM} = '' THEN 'empty_markdown' WHEN strlen(s) > {_OUTPUT} THEN 'output_limit' WHEN contains(s, chr(65533)) OR regexp_matches(s, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]') THEN 'garbled_markdown' WHEN len(regexp_extract_all({_TRIM}, '[\p{{L}}\p{{N}}]')) < 4 THEN 'low_quality' END AS out FROM (SELECT doc_id, text AS s FROM documents) d")
+def a19(t):
+    return t.documents.select("doc_id", text.markdown_reason(F.col("text"), _OUTPUT).alias("out"))
+
+
 
 def _fields(name: str, sql_name: str) -> str:
     return rf"""coalesce(nullif(trim(regexp_extract(s, '(?is)<\|\s*{sql_name}\s*_(?:start|begin)\s*\|>(.*?)<\|\s*{sql_name}\s*_(?:end|stop)\s*\|>', 1), {_WS}), ''), nullif(regexp_extract(s, '(?is)<\s*{sql_name}\s*>\s*(.*?)\s*</\s*{sql_name}\s*>', 1), ''),

@@ -1,7 +1,7 @@
 """Tables of this domain derived from plain tables by expression; the same SQL text runs in Spark and in the oracle.
 
 blocks(doc_id, page_idx, block_idx, kind, x0, y0, x1, y1, angle, merge_prev, content): boxes in whole per-mille.
-marked(doc_id, s): texts with formulas, tags, marks and secrets.  names(id, name): file names.
+marked(doc_id, s): made-up texts with formulas, tags, marks and secrets, and the start of one document of sixteen; WHOLE has all texts.  names(id, name): file names.
 """
 
 from __future__ import annotations
@@ -66,17 +66,20 @@ OTSL = """
 SELECT l_orderkey AS order_key, concat('<fcel>', CAST(CAST(l_quantity AS int) AS string), CASE WHEN l_linenumber = 3 THEN '<ecel>' ELSE concat('<fcel>', l_returnflag, ' & "', CAST(l_partkey AS string), '"') END, '<fcel>', l_linestatus, '<nl>') AS row_text,
   l_linenumber AS n, l_partkey AS p, l_suppkey AS q FROM lineitem"""
 
+#: Tables of the same names and columns that carry the whole text of every document, for the queries NAME_whole.
+WHOLE = {"marked": ("SELECT doc_id, text AS s FROM documents", "documents"), "responses": (RESPONSES.replace("substr(text, 1, 40)", "text"), "documents")}
 TABLES = {"blocks": (BLOCKS, "lineitem"), "marked": (MARKED, "documents"), "names": (NAMES, "pages"), "responses": (RESPONSES, "documents"), "plan_docs": (PAGES, "documents"), "task_events": (TASKS, "events"), "otsl_rows": (OTSL, "lineitem")}
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table, or a plain one."""
+def load(spark: SparkSession, sf_dir: str, name: str, whole: bool = False) -> DataFrame:
+    """A derived table, or a plain one. whole: that of WHOLE if there is one."""
     if name not in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql, base = TABLES[name]
+    sql, base = WHOLE[name] if whole and name in WHOLE else TABLES[name]
     return spark.sql(sql.replace(f"FROM {base}", "FROM {base}"), base=spark.read.parquet(f"{sf_dir}/{base}.parquet"))
 
 
-def oracle(sql: str, *names: str) -> str:
+def oracle(sql: str, *names: str, whole: bool = False) -> str:
     """sql over derived tables, for the oracle's engine."""
-    return "WITH " + ", ".join(f"{n} AS ({TABLES[n][0]})" for n in names) + ("" if sql.lstrip().startswith(",") else " ") + sql
+    made = TABLES | WHOLE if whole else TABLES
+    return "WITH " + ", ".join(f"{n} AS ({made[n][0]})" for n in names) + ("" if sql.lstrip().startswith(",") else " ") + sql
