@@ -4,8 +4,10 @@ For each language, byte context trees up to order three are counted over all its
 code length to every byte after every context: method C escapes with exclusion, from the longest context kept down to
 the uniform order.  A text belongs to the language whose model codes it shortest.
 
-Statistics are summed over all labelled rows; the trees keep the most frequent contexts, so that the tables have
-MODEL_CELLS entries at most whatever the number of languages (that bounds what is gathered and broadcast).
+Statistics are summed over all labelled rows, and the trees keep every context.  A text's code length is a sum over its
+bytes, and what a byte costs needs the trees of one language below one preceding byte only; so the model is cut into
+shards of some languages and some preceding bytes, of MODEL_CELLS entries at most each (that bounds what is gathered
+and held at once; one byte of one language may be alone above it, by its 65,793 contexts).  Each text meets every shard.
 
 Rows with a null text, or a text without a letter, are ``und`` with score 0.  Without any labelled row all are.  Each
 row is judged by its text alone; ties go to the first language by name; an empty table gives no rows.
@@ -153,37 +155,77 @@ def build(languages: list[str], grams: dict[int, list[tuple[np.ndarray, np.ndarr
     return Model(languages, symbol, rows, bits)
 
 
-def train(labelled: DataFrame) -> Model | None:
-    """labelled: (lang, text), lang not null. Counts all rows."""
-    counts = labelled.filter("text is not null and lang is not null").select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from quire.llm.scratch import Scratch
-
-    counts = Scratch(labelled.sparkSession, "ppm").table(counts, "grams")
-    languages = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
-    if not languages:
-        return None
-    room = max(64, MODEL_CELLS // (160 * len(languages)))
-    kept: list[np.ndarray] = [np.zeros(1, np.int64)]
+def _trees(counts: DataFrame, languages: list[str], after: list[int] | None) -> Model:
+    """The model of some languages; after: the preceding bytes whose contexts are wanted, all if None."""
+    counts = counts.filter(F.col("lang").isin(languages))
+    contexts: list[np.ndarray] = [np.zeros(1, np.int64)]
     grams: dict[int, list] = {}
     for o in range(4):
-        cut = counts.groupBy("lang", F.col("gram").bitwiseAND((1 << (8 * (o + 1))) - 1).alias("g")).agg(F.sum("n").alias("n"))
-        if o:
-            top = cut.groupBy(F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "c").limit(room if o == 3 else min(room, 256**o))
-            c = np.sort(np.array([r[0] for r in top.select("c").collect()], np.int64))
-            # A context needs its parent; the most frequent ones have theirs, as a rule.
-            if o > 1:
-                c = c[np.isin(c & ((1 << (8 * (o - 1))) - 1), kept[o - 1])]
-            kept.append(c)
-            cut = cut.join(F.broadcast(labelled.sparkSession.createDataFrame([(int(x),) for x in c], "c long")), F.shiftright("g", 8) == F.col("c"), "left_semi")
+        rows = counts.filter(F.shiftright("gram", 8).bitwiseAND(255).isin(after)) if o and after is not None else counts
+        cut = rows.groupBy("lang", F.col("gram").bitwiseAND((1 << (8 * (o + 1))) - 1).alias("g")).agg(F.sum("n").alias("n"))
         got = cut.toArrow()
         lang, g, n = got["lang"].to_pandas().to_numpy(), got["g"].to_numpy(), got["n"].to_numpy()
         grams[o] = [(g[lang == x], n[lang == x]) for x in languages]
-    return build(languages, grams, kept)
+        if o:
+            contexts.append(np.unique(g >> 8))
+    return build(languages, grams, contexts)
 
 
-def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Bits of each text under each language."""
-    n, a = len(starts) - 1, model.n_symbols + 1 if model.symbol.max() < 255 else model.n_symbols
+def _counts(labelled: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The counts (lang, gram, n) of all rows, written, and the languages."""
+    counts = labelled.filter("text is not null and lang is not null").select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    from quire.llm.scratch import Scratch
+
+    counts = Scratch(labelled.sparkSession, "ppm").table(counts, "grams")
+    return counts, [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+
+
+def train(labelled: DataFrame) -> Model | None:
+    """labelled: (lang, text), lang not null. Counts all rows; the whole model at once."""
+    counts, languages = _counts(labelled)
+    return _trees(counts, languages, None) if languages else None
+
+
+def plan_shards(contexts: dict[int, int], symbols: int, languages: list[str], cells: int) -> list[tuple[list[str], list[int]]]:
+    """(languages, preceding bytes) of each shard; contexts: those of each preceding byte, over all languages."""
+    at_once = max(1, min(len(languages), cells // (symbols * max(contexts.values()))))
+    shards = []
+    for low in range(0, len(languages), at_once):
+        some = languages[low : low + at_once]
+        part: list[int] = []
+        size = 0
+        for b, n in sorted(contexts.items(), key=lambda x: (-x[1], x[0])):
+            if part and (size + n) * symbols * len(some) > cells:
+                shards.append((some, part))
+                part, size = [], 0
+            part.append(b)
+            size += n
+        shards.append((some, part))
+    return shards
+
+
+def shards(labelled: DataFrame, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, Model]]:
+    """(languages by number, whether a preceding byte belongs to it, model) of each shard; every language and byte is in one."""
+    counts, languages = _counts(labelled)
+    if not languages:
+        return
+    c = F.shiftright("gram", 8)
+    orders = F.explode(F.array(*[F.struct(F.lit(o).alias("o"), c.bitwiseAND((1 << (8 * o)) - 1).alias("c")) for o in (1, 2, 3)]))
+    per_byte = counts.select(orders.alias("x")).distinct().groupBy(F.col("x.c").bitwiseAND(255).alias("b")).agg(F.count("*").alias("n"))
+    contexts = {r["b"]: r["n"] for r in per_byte.collect()}
+    symbols = counts.select(F.col("gram").bitwiseAND(255)).distinct().count() + 2
+    number = {x: i for i, x in enumerate(languages)}
+    for some, after in plan_shards(contexts, symbols, languages, cells):
+        mine = np.zeros(256, bool)
+        mine[after] = True
+        if max(contexts, key=lambda b: (contexts[b], -b)) in after:
+            mine[[b for b in range(256) if b not in contexts]] = True  # only order 0 knows them
+        yield np.array([number[x] for x in some]), mine, _trees(counts, some, after)
+
+
+def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray, mine: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each text under each language; mine: only of the bytes whose preceding byte is so marked."""
+    n = len(starts) - 1
     a = round(len(model.rows) ** (1 / 3))
     out = np.zeros((n, len(model.languages)))
     if not len(raw):
@@ -195,24 +237,39 @@ def code_lengths(model: Model, raw: np.ndarray, starts: np.ndarray) -> np.ndarra
         before = np.zeros_like(s)
         before[k:] = s[:-k] if k < len(s) else 0
         context = context * a + np.where(place >= k, before, model.symbol[0])
+    if mine is not None and not mine.all():
+        last = np.zeros_like(raw)
+        last[1:] = raw[:-1]
+        taken = mine[np.where(place >= 1, last, 0)]
+        starts = np.concatenate(([0], np.cumsum(taken)))[starts]
+        context, s = context[taken], s[taken]
     bits = model.bits[model.rows[context].astype(np.int64) * a + s]
     full = np.flatnonzero(np.diff(starts))
-    out[full] = np.add.reduceat(bits, starts[:-1][full], axis=0, dtype=np.float64)
+    if len(full):
+        out[full] = np.add.reduceat(bits, starts[:-1][full], axis=0, dtype=np.float64)
     return out
 
 
-def _scored(model):
+def _scored(names: list[str], parts: list):
+    """parts: (languages by number, preceding bytes, broadcast model) of each shard; one is in memory at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
         for batch in batches:
-            for low, high, raw, starts in chunks(batch.column(2)):
+            texts = list(chunks(batch.column(2)))
+            sums = [np.zeros((high - low, len(names))) for low, high, _, _ in texts]
+            for which, mine, model in parts:
+                # value stays in memory, and what was read from the file does not
+                m: Model = model.value if len(parts) == 1 else model.load_from_path(model._path)
+                for bits, (_, _, raw, starts) in zip(sums, texts, strict=True):
+                    bits[:, which] += code_lengths(m, raw, starts, mine)
+                del m
+            for bits, (low, high, _, _) in zip(sums, texts, strict=True):
                 part = batch.slice(low, high - low)
-                bits = code_lengths(m, raw, starts)
                 best = bits.argmin(1)
                 with np.errstate(under="ignore"):
                     share = 1 / np.exp2(bits.min(1, keepdims=True) - bits).sum(1)
                 letters = pc.fill_null(pc.match_substring_regex(part.column(2), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                lang = [m.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
+                lang = [names[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(np.where(letters, share, 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -221,10 +278,12 @@ def _scored(model):
 def identify(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row; models learn from the rows with a language that are not held out."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
-    model = train(rows.filter(~F.coalesce("held_out", F.lit(False))).select("lang", "text"))
+    parts, names = [], {}
+    for which, mine, model in shards(rows.filter(~F.coalesce("held_out", F.lit(False))).select("lang", "text"), MODEL_CELLS):
+        names |= dict(zip(which.tolist(), model.languages, strict=True))
+        parts.append((which, mine, docs.sparkSession.sparkContext.broadcast(model)))
     rows = rows.select("doc_id", "held_out", "text")
-    if model is None:
+    if not parts:
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MODEL_CELLS bounds its size
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_scored([names[i] for i in sorted(names)], parts), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

@@ -257,6 +257,29 @@ def test_code_lengths_are_exact(spark):
         assert bits[1, k] == 0 and bits[2, k] == pytest.approx(brute_code_length(texts[lang], "éü"), abs=1e-3)
 
 
+def test_shards_of_the_model_keep_every_context(spark, monkeypatch):
+    """A bound on the model cuts it into shards, and drops no context: code lengths and predictions stay the same."""
+    texts = {"aa": ["abracadabra abra", "cadabra"], "bb": ["über zwölf böse", "zwei und zwanzig"], "cc": ["ei ei, poliisi"]}
+    labelled = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "lang string, text string")
+    asked = ["abra zwx", "", "éü poliisi über", "cadabra"]
+    raw, starts = np.frombuffer("".join(asked).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in asked)])
+    sums, met = np.zeros((len(asked), 3)), 0
+    for which, mine, model in language.shards(labelled, 600):
+        sums[:, which] += language.code_lengths(model, raw, starts, mine)
+        met += 1
+    assert met > 3
+    for i, x in enumerate(asked):
+        for k, lang in enumerate(sorted(texts)):
+            assert sums[i, k] == pytest.approx(brute_code_length(texts[lang], x), abs=1e-3)
+
+    rows = spark.createDataFrame([(n, t, k) for n, (k, t) in enumerate((k, t) for k, ts in texts.items() for t in ts)], "doc_id long, text string, lang string")
+    got = {}
+    for cells in (12_000_000, 600):
+        monkeypatch.setattr(language, "MODEL_CELLS", cells)
+        got[cells] = {r.doc_id: (r.lang_pred, round(r.score, 4)) for r in language.identify(rows, F.lit(False)).collect()}
+    assert got[600] == got[12_000_000]
+
+
 def test_language_of_held_out(spark):
     from support import DATA
 
