@@ -6,8 +6,9 @@ left, the ratio of text outside links to tags is smoothed with a Gaussian and cl
 select content.  The container (article, main, or a block) with most of the selected text is the content region: all
 its lines are kept, short ones too, and selected lines elsewhere only while there is no article.
 
-White space in a line becomes one space, references are decoded, lines are joined by an empty line.  Null, empty and
-unparsable pages have an empty text.  Each row is judged by itself: ties, repeated rows and further columns change
+White space in a line becomes one space, references are decoded, lines are joined by an empty line.  A malformed
+declaration is a comment up to the next ``>``, as in HTML5, and a page is read to its end.  Null and empty pages have
+an empty text.  Each row is judged by itself: ties, repeated rows and further columns change
 nothing; an empty table gives no rows.
 """
 
@@ -41,6 +42,9 @@ NAMES = frozenset(
 NOT_WITH = frozenset("has with no without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
+#: References that int() may refuse; beyond the last character, as these are, they decode to U+FFFD.
+_LONG = re.compile(r"&#0*[1-9][0-9]{7,};?")
+_ZEROS = re.compile(r"&#0{9,}(?=[0-9])")
 
 
 def _named(value: str | None) -> bool:
@@ -65,6 +69,16 @@ class _Lines(HTMLParser):
         self.line: list | None = None
         self.headings = 0
 
+    def parse_html_declaration(self, i: int) -> int:
+        """A marked section, known or not, is a comment up to the next ``>``; a closed CDATA section up to its end."""
+        raw = self.rawdata
+        if not raw.startswith("<![", i):
+            return super().parse_html_declaration(i)
+        if raw[i + 3 : i + 9].upper() == "CDATA[" and (end := raw.find("]]>", i + 9)) >= 0:
+            return end + 3
+        end = raw.find(">", i + 3)
+        return end + 1 if end >= 0 else len(raw)
+
     def _break(self) -> None:
         self.line = None
 
@@ -198,11 +212,8 @@ def _select(lines: list[list]) -> list[list]:
 def main_text(html: str | None) -> str:
     for by_name in (True, False):
         parser = _Lines(by_name)
-        try:
-            parser.feed(html or "")
-            parser.close()
-        except (AssertionError, ValueError):  # malformed declarations
-            pass
+        parser.feed(_ZEROS.sub("&#", _LONG.sub("&#x110000;", html or "")))
+        parser.close()
         text = "\n\n".join(t for x in _select(parser.lines) if (t := " ".join("".join(x[0]).split())))
         if text:
             return text

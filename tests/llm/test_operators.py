@@ -195,6 +195,22 @@ def test_odd_pages(spark):
     assert [r.text for r in got if r.page_id in (1, 2)] == ["", ""] and [r.text for r in got if r.page_id is None] == ["one two three"]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>one</p><![ endif ]><p>two</p>", "one\n\ntwo"),
+        ("<p>one</p><![foo]><p>two</p>", "one\n\ntwo"),
+        ("<p>a <![x] b</p><p>two</p>", "a\n\ntwo"),
+        ("<p>one</p><![endif]--><p>two</p>", "one\n\ntwo"),
+        ("<p>one</p><![CDATA[x <p>y</p>]]><p>two</p>", "one\n\ntwo"),
+        ("<p>one</p><![CDATA[x <p>two</p>", "one\n\ntwo"),
+        (f"<p>one &#{'9' * 5000}; &#{'0' * 5000}65;</p><p>two</p>", "one \ufffd A\n\ntwo"),
+    ],
+)
+def test_text_after_a_malformed_declaration_is_kept(page, text):
+    assert html_text.main_text(page) == text
+
+
 # 5 sharding
 
 
