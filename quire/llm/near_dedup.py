@@ -9,8 +9,8 @@
 4. A pair's sketches are compared BATCH hashes at a time; it is dropped as soon as the posterior probability (uniform
    prior) that its similarity reaches the threshold falls below MISS.  Survivors are confirmed on their full sets.
 
-A pair at the threshold itself is missed with a probability of about 7e-5: that of sharing fewer than LEAST_BANDS of
-BANDS keys, each with 0.75**ROWS, plus MISS for each batch.  At a similarity of 0.8 it is below 1e-6.  Shingles are compared by 64-bit hashes.
+A pair at the threshold itself is missed with a probability of about 1e-5: that of sharing none of BANDS keys, each with
+0.75**ROWS (4e-6), plus MISS for each batch.  Shingles are compared by 64-bit hashes.
 
 Null and empty texts have no shingles and are linked with nothing.  Rows without an id take no part in links
 (component null, kept true).  Rows that repeat an id are one document: a link of one of its texts links the id, and
@@ -37,8 +37,6 @@ BANDS, ROWS = 64, 6
 SKETCH, BATCH, MISS = 256, 32, 1e-6
 #: All pairs of mixed buckets are compared once there are at most so many for each representative, or after so many rounds.
 DENSE, MOST_ROUNDS = 256, 3
-#: Of those, the pairs that share fewer band keys are not looked at: at the threshold they share eleven on average.
-LEAST_BANDS = 2
 _RNG = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -193,8 +191,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         last = k == MOST_ROUNDS or (k > 0 and across <= 2 * DENSE * n_reps)
         if last:
             other = mixed.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-            tried = mixed.join(other, "band").filter(F.col("component") > F.col("other")).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("shared"))
-            tried = tried.filter(F.col("shared") >= LEAST_BANDS).select("a", "b")
+            tried = mixed.join(other, "band").filter(F.col("component") > F.col("other")).select(F.col("node").alias("a"), "b").distinct()
         else:
             # The least node is the hub of the first round; other rounds take other hubs, dealt by bucket.
             order = F.col("node") if k == 0 else F.xxhash64("node", "band", F.lit(k))

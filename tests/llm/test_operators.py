@@ -72,6 +72,17 @@ def test_many_hubs(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_pairs_that_share_a_single_band(spark):
+    """1 and 2 are alike (18 of 24) and share one band key, in a bucket whose hubs are like neither."""
+    w = [f"s42081x{i}" for i in range(28)]
+    rows = [(0, " ".join([*w, *(f"h18y{i}" for i in range(20))])), (1, " ".join(w)), (2, " ".join(w[:22]))]
+    raw = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    x, a, b = near_dedup.band_keys(near_dedup.signatures([near_dedup.shingle_sets(r, np.array([0, len(r)]))[0] for r in raw]))
+    assert (a == b).sum() == 1 and (x == a)[a == b].all()
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert by_id({(r.doc_id, r.component_id) for r in got}) == by_id({(0, 0), (1, 1), (2, 1)})
+
+
 def test_posterior_bounds():
     assert near_dedup.least_matches(32) < 24 and near_dedup.least_matches(256) < 192
     # What is pruned at the threshold itself, over all batches, stays within the stated probability.
