@@ -212,10 +212,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, one of each group of near duplicates: those of its least id, once each if they repeat."""
-    kept = near_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("__id"))
-    ids = kept.groupBy("__id").agg(F.count("*").alias("__n"))
-    rows = docs.join(ids, F.col(doc_id).eqNullSafe(F.col("__id")))
-    once = rows.filter("__n = 1 or __id is null").select(*[docs[c] for c in docs.columns])
-    again = rows.filter("__n > 1 and __id is not null").select(*[docs[c] for c in docs.columns])
-    return once.unionByName(again.dropDuplicates([doc_id]))
+    """The rows of docs, one of each group of near duplicates: those of its least id.
+
+    Where ids repeat, each text of an id is a document of its own, and rows with the same id and text are one."""
+    if docs.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).count().filter("count > 1").isEmpty():
+        kept = near_duplicates(docs, doc_id, text).filter("kept and doc_id is not null").select(F.col("doc_id").alias("__id"))
+        rows = docs.join(kept, F.col(doc_id) == F.col("__id")).select(*[docs[c] for c in docs.columns])
+        return rows.unionByName(docs.filter(F.col(doc_id).isNull()))
+    # Texts are told apart by two hashes and numbered in the order of ids, so that the least id stays the least.
+    value = F.col(text).cast("string")
+    keyed = docs.withColumns({"__id": F.col(doc_id).cast("long"), "__h1": F.xxhash64(value), "__h2": F.xxhash64(F.lit(1), value)})
+    key = ["__id", "__h1", "__h2"]
+    scratch = Scratch(docs.sparkSession, "numbers")
+    numbers = keyed.filter("__id is not null").groupBy(*key).agg(F.count("*").alias("__n")).orderBy(*key)
+    numbers = scratch.table(numbers.withColumn("__number", F.monotonically_increasing_id()), "numbers")
+    numbered = keyed.join(numbers, key).select("__number", value.alias("__text"))
+    nulls = docs.filter(F.col(doc_id).isNull())
+    kept = near_duplicates(numbered, "__number", "__text").filter("kept").select(F.col("doc_id").alias("__number")).distinct()
+    rows = keyed.join(numbers.join(kept, "__number"), key)
+    once = rows.filter("__n = 1").select(*docs.columns)
+    again = rows.filter("__n > 1").dropDuplicates(key).select(*docs.columns)
+    return once.unionByName(again).unionByName(nulls)

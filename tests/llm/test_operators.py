@@ -72,6 +72,18 @@ def test_many_hubs(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_texts_of_a_repeated_id_are_judged_one_by_one(spark):
+    from conftest import prose
+
+    a, b, c = prose(1, 120), prose(2, 120), prose(3, 120)
+    near = " ".join([*c.split()[:-1], "changed"])
+    rows = [(5, a), (5, b), (5, b), (7, a), (7, c), (7, near), (9, b), (None, a)]
+    got = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = by_id({(r.doc_id, r.text) for r in got})
+    assert len(got) == 4 and {(5, a), (5, b), (None, a)} <= {(r.doc_id, r.text) for r in got}, texts
+    assert [r.text in (c, near) for r in got if r.doc_id == 7] == [True]
+
+
 def test_pairs_that_share_a_single_band(spark):
     """1 and 2 are alike (18 of 24) and share one band key, in a bucket whose hubs are like neither."""
     w = [f"s42081x{i}" for i in range(28)]
