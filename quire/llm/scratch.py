@@ -1,73 +1,86 @@
 """Written tables that cut lineage, in the folder that the cluster shares.
 
-The folder is ``spark.checkpoint.dir`` of the session; a machine-local one is set only where that is unset (tests).
-Tables are Parquet, so a lost executor costs the rereading of files, never the recomputation of what made them.
+The folder is ``spark.checkpoint.dir`` of the session.  Where that is unset, a session on one machine (``local[n]``)
+gets a temporary folder, and a session on a cluster is refused: its executors could not read the driver's folders.
+Tables are Parquet, so a lost executor costs the rereading of files, never the recomputation of what made them; the
+shuffle files of a table are removed as soon as it is written.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[tuple[SparkSession, str]] = []
-_LASTING: list[tuple[SparkSession, str]] = []
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_MADE: set[Scratch] = set()
+_OWNER: ContextVar[list[Scratch] | None] = ContextVar("owner", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 class Scratch:
-    """The tables of one call of an operator. They stay until release() or the end of the process, for results are lazy.
+    """The tables of one call of an operator. They stay until they are released or the process ends, for results are lazy."""
 
-    lasting: until the end of the process."""
-
-    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
+    def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
-        (_LASTING if lasting else _MADE).append((spark, self.path))
+        _MADE.add(self)
+        if (mine := _OWNER.get()) is not None:
+            mine.append(self)
 
     def table(self, frame: DataFrame, name: str) -> DataFrame:
-        at = f"{self.path}/{name}"
-        frame.write.mode("overwrite").parquet(at)
+        at, before = f"{self.path}/{name}", self.spark.conf.get(_CLEAN, None)
+        self.spark.conf.set(_CLEAN, "true")  # once the table is written, nothing reads its shuffle files
+        try:
+            frame.write.mode("overwrite").parquet(at)
+        finally:
+            self.spark.conf.unset(_CLEAN) if before is None else self.spark.conf.set(_CLEAN, before)
         return self.spark.read.schema(frame.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        """For a table that nothing will read again."""
-        _delete(self.spark, f"{self.path}/{name}")
-
-    def settle(self, *names: str) -> None:
-        """Drop tables that nothing will read again, and let Spark's cleaner remove the shuffle files of finished steps."""
+    def drop(self, *names: str) -> None:
+        """For tables that nothing will read again."""
         for name in names:
-            self.drop(name)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+            self._delete(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Delete all of this call's tables: once the results that read them are written."""
+        self._delete(self.path)
+        _MADE.discard(self)
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    def _delete(self, path: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables made so far: call it once the results that read them are written."""
-    while _MADE:
-        _delete(spark, _MADE.pop()[1])
+@contextmanager
+def owned() -> Iterator[list[Scratch]]:
+    """Whose tables the calls inside make: the list can release them, and no one else's, later on."""
+    mine: list[Scratch] = []
+    token = _OWNER.set(mine)
+    try:
+        yield mine
+    finally:
+        _OWNER.reset(token)
 
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, path in [*_MADE, *_LASTING]:
+    for scratch in list(_MADE):
         try:
-            if spark.sparkContext._jsc is not None:
-                _delete(spark, path)
+            if scratch.spark.sparkContext._jsc is not None:
+                scratch.release()
         except Exception:  # noqa: BLE001  the JVM may be gone already
             return

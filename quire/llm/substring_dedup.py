@@ -226,7 +226,6 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     held = scratch.table(
         keyed.join(found, same(keyed, found)).select(keyed["doc_id"], keyed["words_key"], "text", "least", "whole", "apart"), "held"
     )
-    scratch.settle("often", "runs", "kinds")
     single = held.filter(F.size("apart") > 0).select("doc_id", "words_key", "text", "apart").mapInArrow(_single_windows, "h long, doc_id long, words_key long, s int")
     single = scratch.table(single, "single")
     again = single.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
