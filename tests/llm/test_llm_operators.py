@@ -64,6 +64,39 @@ def test_near_duplicates_of_nothing(empty):
     assert near_dedup.deduplicated(empty).count() == 0
 
 
+def test_a_large_group_around_the_threshold(spark):
+    """Edited copies of one text, from much alike to hardly: the bound on candidates loses no link."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 9)):
+            text[at] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(text)))
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(150))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, x), (b, y) in combinations(enumerate(sets), 2):
+        if 100 * len(x & y) >= 75 * len(x | y):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: root(i) for i in range(150)} and 20 < len(set(got.values())) < 130
+
+
+def test_near_duplicates_beside_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 7, 8, 9), (2, "a b c d e f", 7, 8, 9), (2, "other words of a text that is alone", 7, 8, 9), (None, None, 7, 8, 9)]
+    for some in (rows, rows[:2] + rows[3:]):
+        got = near_dedup.deduplicated(spark.createDataFrame(some, "doc_id long, text string, __id long, __NUMBER long, node long")).collect()
+        assert by_id([(r.doc_id, r.text) for r in got]) == by_id([x[:2] for x in [some[0], *some[2:]]])
+
+
 def test_many_hubs(spark):
     """A chain of texts, each like the next only, is one component; so is a star."""
     base = [f"w{i}" for i in range(200)]
@@ -357,6 +390,48 @@ def test_substrings(docs, documents):
     assert all(r.text == untouched[r.doc_id] for r in cut.collect() if r.doc_id in untouched)
 
 
+def removed_by_brute_force(texts):
+    seen = Counter(tuple(w[i : i + 35]) for w in texts for i in range(len(w) - 34))
+    return [sum(any(seen[tuple(w[i : i + 35])] > 1 for i in range(max(0, j - 34), min(j, len(w) - 35) + 1)) for j in range(len(w))) for w in texts]
+
+
+@pytest.mark.parametrize("most", [substring_dedup.MOST_RUNS, 1])
+def test_passages_cut_anywhere(spark, monkeypatch, most):
+    """Passages that start and end anywhere, in texts around one common phrase; by the automata and by single windows."""
+    monkeypatch.setattr(substring_dedup, "MOST_RUNS", most)
+    rng = np.random.default_rng(7)
+    source = [f"s{i}" for i in range(300)]
+    texts = []
+    for i in range(60):
+        a, n = rng.integers(0, 200), rng.integers(30, 100)
+        own = [f"d{i}w{j}" for j in range(60)]
+        texts.append(own[:20] + source[a : a + n] + own[20:40] + [f"common{j}" for j in range(12)] + own[40:])
+    texts += [["again"] * 80, source[:35], source[1:36], source[:34], []]
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = {r.doc_id: r.n_removed for r in substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == removed_by_brute_force(texts)
+
+
+def test_the_automaton_decides():
+    passage = " ".join(f"w{i}" for i in range(50)).encode()
+    texts, counts = [b"a b " + passage + b" c", passage + b" d", b" ".join(b"x%d" % i for i in range(40))], np.array([1, 1, 1])
+    found = substring_dedup.patterns(texts, counts)
+    assert substring_dedup.covered(texts, counts, found) == [[(2, 52)], [(0, 50)], []]
+    first = b" " + b" ".join(passage.split()[:35]) + b" "
+    assert substring_dedup.covered(texts, counts, found - {first}) == [[(17, 52)], [(15, 50)], []]
+    # A pattern that is found once is not confirmed, whatever its hash has said; a segment that occurs twice confirms it.
+    once = {b" " + b" ".join(texts[2].split()[:35]) + b" "}
+    assert substring_dedup.covered(texts, counts, once) == [[], [], []]
+    assert substring_dedup.covered(texts, np.array([1, 1, 2]), once) == [[], [], [(0, 35)]]
+
+
+def test_substrings_beside_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text + " own", 7, 8, 9), (2, text, 7, 8, 9), (None, None, 7, 8, 9)]
+    got = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, __k1 long, __K2 long, __spans long")).collect()
+    assert by_id([tuple(r) for r in got]) == by_id([(1, "own", 7, 8, 9), (2, "", 7, 8, 9), (None, None, 7, 8, 9)])
+
+
 def test_substrings_of_nothing(empty):
     assert substring_dedup.digests(empty).count() == 0 and substring_dedup.without_repeats(empty).count() == 0
 
