@@ -167,6 +167,40 @@ def test_topk_of_nothing(spark):
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def best_by_hand(vectors, k):
+    whole = [(d, [math.floor(64 * x) for x in v]) for d, v in vectors]
+    out = set()
+    for q, x in whole:
+        if q % 20 == 0:
+            scores = sorted((-min(max(sum(a * b for a, b in zip(x, y)), -topk.LIMIT), topk.LIMIT), d) for d, y in whole if d != q)
+            out |= {(q, i + 1, d, -s) for i, (s, d) in enumerate(scores[:k])}
+    return out
+
+
+@pytest.mark.parametrize("large", [1e3, 3e4, 2e5, 3e7, 1e30])
+def test_one_large_vector(spark, large):
+    """A vector whose scores need more bits than its block's others, and k above a block's share."""
+    rng = np.random.default_rng(3)
+    vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(80)] + [(80, [large] + [0.5] * 7)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(8, "vec_id")
+    got = topk.search(frame, F.col("vec_id") % 20 == 0, k=20).collect()
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == best_by_hand(vectors, 20)
+
+
+def test_tiles(spark, monkeypatch):
+    """Cells of several tiles (the workers fork with the smaller ones only if they are passed on, so in this process)."""
+    monkeypatch.setattr(topk, "QUERY_TILE", 3)
+    monkeypatch.setattr(topk, "TILE", 4)
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(-9, 9, (7, 5)), rng.integers(-9, 9, (10, 5))
+    row = lambda v, ids: {"dim": 5, "n": len(v), "most": int(np.abs(v).max()), "vectors": v.astype(np.int32).tobytes(), "ids": np.array(ids, np.int64).tobytes()}
+    low = np.full(7, -(5 * 81))
+    found = np.full((7, 10), 0)
+    for i, j, s in topk._tiles(row(x, range(7)), row(y, range(100, 110)), low):
+        found[i : i + s.shape[0], j : j + s.shape[1]] = s
+    assert (found == x @ y.T).all()
+
+
 # 3 packing
 
 
