@@ -3,13 +3,14 @@
 The standard library's parser streams events; each block element starts a line.  Elements that never hold main text
 (scripts, forms, navigation, elements whose class or id names them so) are left out while streaming.  Of the lines
 left, the ratio of text outside links to tags is smoothed with a Gaussian and clustered by a threshold; lines above it
-select content.  The container (article, main, or a block) with most of the selected text is the content region: all
-its lines are kept, short ones too, and selected lines elsewhere only while there is no article.
+select content.  The container (article, main, or a block) with most of the selected text is the content region.  In it
+the lines of the upper cluster are kept, and of the lower one those that are text and not links (a short paragraph, a
+heading); lists of links between paragraphs go.  Selected lines elsewhere stay only while there is no article.
 
 White space in a line becomes one space, references are decoded, lines are joined by an empty line.  A malformed
 declaration is a comment up to the next ``>``, as in HTML5, and a page is read to its end.  Null and empty pages have
-an empty text.  Each row is judged by itself: ties, repeated rows and further columns change
-nothing; an empty table gives no rows.
+an empty text; pages of any length are read whole.  Each row is judged by itself: ties, repeated rows, null ids and
+urls, and further columns, whatever their names, change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ NAMES = frozenset(
     "related recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets skip".split()
 )
 NOT_WITH = frozenset("has with no without".split())
+#: Words that leave a name what it is: a part of an article is named by others only if it is main text.
+PLAIN = frozenset("area bar block bottom box button buttons container content form group icons inline inner item items left line link links list panel post posts right section slot text top unit wrap wrapper".split())
+#: A header that is named after one of these holds a title.
+TITLED = frozenset("article content entry post story title".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 #: References that int() may refuse; beyond the last character, as these are, they decode to U+FFFD.
@@ -47,11 +52,14 @@ _LONG = re.compile(r"&#0*[1-9][0-9]{7,};?")
 _ZEROS = re.compile(r"&#0{9,}(?=[0-9])")
 
 
-def _named(value: str | None) -> bool:
-    """Whether a class or id names a part that is not main text, as its whole, first or last word."""
+def _named(value: str | None, in_article: bool) -> bool:
+    """Whether a class or id names a part that is not main text: by its first or last word, in an article by all its words."""
     for name in (value or "").lower().split():
         words = [w for w in _SPLIT.split(name) if w]
-        if words and not NOT_WITH.intersection(words) and (words[0] in NAMES or words[-1] in NAMES):
+        named = NAMES.intersection(words)
+        if not named or NOT_WITH.intersection(words) or named == {"header"} and (in_article or TITLED.intersection(words)):
+            continue
+        if all(w in NAMES or w in PLAIN or w.isdigit() for w in words) if in_article else words[0] in NAMES or words[-1] in NAMES:
             return True
     return False
 
@@ -128,7 +136,7 @@ class _Lines(HTMLParser):
             for key, value in attrs:
                 if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and (value or "").lower() in ROLES):
                     return 1
-                if key in ("class", "id") and tag != "main" and _named(value) and not (tag in _HEADINGS and self.in_article):
+                if key in ("class", "id") and tag != "main" and _named(value, self.in_article > 0) and not (tag in _HEADINGS and self.in_article):
                     return 1
         return 0
 
@@ -204,7 +212,8 @@ def _select(lines: list[list]) -> list[list]:
     if articles and inside * 4 >= sum(weight.values()):
         best = max(weight[k] for k in articles)
         region = {k for k in articles if weight[k] * 4 >= best}
-        return [x for x in lines if x[4] in region]
+        beside = [a or b for a, b in zip([False, *linked[:-1]], [*linked[1:], False], strict=True)]  # another line of links
+        return [x for x, s, k, b in zip(lines, smooth, linked, beside, strict=True) if x[4] in region and (not k or s >= threshold and not b)]
     region = {k for k, v in weight.items() if v * 2 >= top} if top else set()
     return [x for x, c, k in zip(lines, chosen, linked, strict=True) if (x[4] in region and not k) or c]
 

@@ -5,10 +5,13 @@ much its words and word triples repeat, and words their predecessors.  Indicator
 classes, and a linear hinge-loss model is fitted on them by dual coordinate descent.  Margins become scores by a
 logistic fit on a fifth of the sample that the model does not see.
 
-The model is fitted on a sample of at most about SAMPLE labelled rows, drawn by a hash of the id; every row is scored.
-Null and empty texts are sets of few n-grams and get a score like any other.  Labels other than 0 and 1 are left out;
-a document that several label rows name counts once for each.  With labels of one class only, or none, all scores are
-the share of label 1, or 0.5.  Other columns have no part; an empty table gives no rows.
+The model is fitted on a sample of about SAMPLE distinct labelled texts (id, label, text), drawn and put in order by
+hashes, so that reruns and other partitionings fit the same model; every row is scored.
+Null and empty texts are sets of few n-grams and get a score like any other; texts of any length are taken whole.
+Labels other than 0 and 1 are left out; an id with both labels, or with several texts, gives a row for each, and rows
+that repeat count once.  Rows without an id are scored, but have no label.  With labels of one class only, or none, all
+scores are the share of label 1, or 0.5.  Ties: equal texts have equal scores.  Other columns have no part, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.scratch import Scratch
 from quire.llm.words import chunks, hashed_words, runs_hashed
 
 SAMPLE = 12_000
@@ -71,10 +75,11 @@ def feature_sets(raw: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nth, label, features) of the rows (nth, label, text)."""
     for batch in batches:
-        for low, high, raw, starts in chunks(batch.column(1)):
-            sets = feature_sets(raw, starts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array([s.astype(np.int32) for s in sets], pa.list_(pa.int32()))], ["label", "features"])
+        for low, high, raw, starts in chunks(batch.column(2)):
+            sets = pa.array([s.astype(np.int32) for s in feature_sets(raw, starts)], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), sets], ["nth", "label", "features"])
 
 
 def log_ratios(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -149,13 +154,15 @@ def fit(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
 
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sets, labels = [], []
+    sets, labels, nth = [], [], []
     for batch in batches:
-        labels.append(batch.column(0).to_numpy(zero_copy_only=False))
-        f = batch.column(1)
+        nth += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+        f = batch.column(2)
         at, flat = f.offsets.to_numpy(), f.values.to_numpy()
-        sets += [flat[a:b].astype(np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-    model = fit(sets, np.concatenate(labels) if labels else np.zeros(0))
+        sets += [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    order = sorted(range(len(nth)), key=lambda i: (nth[i], labels[i], sets[i].tobytes()))
+    model = fit([sets[i].astype(np.int64) for i in order], np.array([labels[i] for i in order], np.float64))
     yield pa.RecordBatch.from_arrays([pa.array([model.tobytes()], pa.binary())], ["model"])
 
 
@@ -179,13 +186,19 @@ def _scored(shared):
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; learns from the labels of rows that are not held out."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "labels")
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out.alias("held_out"), F.col(text).cast("string").alias("text"))
-    named = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("l_id"), F.col(label).cast("double").alias("label"))
-    n = named.count()
+    named = labels.filter(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("l_id"), F.col(label).cast("double").alias("label")).distinct()
+    named = scratch.table(named, "named")
+    seen = rows.filter(~F.coalesce("held_out", F.lit(False))).withColumn("t", F.xxhash64("text"))
+    pairs = seen.select("doc_id", "t").join(named, F.col("doc_id") == F.col("l_id")).select("l_id", "label", "t").distinct()
+    pairs = scratch.table(pairs.withColumn("nth", F.xxhash64("l_id", "label", "t")), "pairs")
+    n = pairs.count()
     if n > SAMPLE:
-        named = named.filter(F.pmod(F.xxhash64("l_id"), F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
-    known = rows.filter(~F.coalesce("held_out", F.lit(False))).join(F.broadcast(named), F.col("doc_id") == F.col("l_id")).select("label", "text")
-    model = known.mapInArrow(_features, "label double, features array<int>").coalesce(1).mapInArrow(_fitted, "model binary").first()
+        pairs = pairs.filter(F.pmod("nth", F.lit(1 << 30)) < int((1 << 30) * SAMPLE / n))
+    sample = scratch.table(pairs.withColumnRenamed("t", "l_t"), "sample")  # about SAMPLE rows, so that it can be broadcast
+    known = seen.join(F.broadcast(sample), (F.col("doc_id") == F.col("l_id")) & (F.col("t") == F.col("l_t"))).select("nth", "label", "text").dropDuplicates(["nth", "label"])
+    model = known.mapInArrow(_features, "nth long, label double, features array<int>").repartition(1).mapInArrow(_fitted, "model binary").first()
     kind = rows.schema["doc_id"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(bytes(model[0]) if model else fit([], np.zeros(0)).tobytes())
     return rows.mapInArrow(_scored(shared), f"doc_id {kind}, held_out boolean, score double, predicted int")

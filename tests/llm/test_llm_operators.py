@@ -278,6 +278,55 @@ def test_main_text(page):
     assert html_text.main_text(page) == CLEAN
 
 
+PROSE = "<p>First paragraph with a good many words in it, as text has, and some more of them.</p>"
+MORE = "<p>Second paragraph, which has many words too, so that it is not taken for anything else.</p>"
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ("<div class='article-header'><h1>The title</h1></div>{p}{m}", "The title|p|m"),
+        ("{p}<section class='share-price'><p>The price of a share rose.</p></section>{m}", "p|The price of a share rose.|m"),
+        ("{p}<ul><li><a href=1>Other story one</a></li><li><a href=2>Other story two</a></li></ul>{m}", "p|m"),
+        ("{p}<p><a href=1>A paragraph that is one link.</a></p>{m}", "p|A paragraph that is one link.|m"),
+        ("{p}<div class='share-buttons'>Share it</div><div class='related posts'><p>Another story.</p></div>{m}", "p|m"),
+        ("{p}<![x[ <p>Middle.</p>{m}", "p|Middle.|m"),
+        ("{p}{m}" + "".join(f"<p><a href={i}>Story {i}</a></p>" for i in range(9)), "p|m"),
+    ],
+)
+def test_parts_of_an_article(inside, kept):
+    words = {"p": re.sub("<.*?>", "", PROSE), "m": re.sub("<.*?>", "", MORE)}
+    got = html_text.main_text(f"<body><article>{inside.format(p=PROSE, m=MORE)}</article></body>")
+    assert got.split("\n\n") == [words.get(x, x) for x in kept.split("|")]
+
+
+def test_smoothed_ratios_decide(monkeypatch):
+    """With all smoothed ratios alike, lines of links would be in the upper cluster."""
+    page = f"<article>{PROSE}{MORE}<h2>1</h2><h2>2</h2><h2>3</h2><p><a href=x>Go to top</a></p></article>"
+    assert not html_text.main_text(page).endswith("Go to top")
+    monkeypatch.setattr(html_text, "_smoothed", lambda ratios: [0.0] * len(ratios))
+    assert html_text.main_text(page).endswith("Go to top")
+
+
+def test_articles_of_all_pages(spark):
+    """Precision and recall of words over the test pages, against their article blocks cut out by expressions."""
+    import html as entities
+
+    from support import DATA
+
+    right = found = wanted = 0
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html_text.extract(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    for page in pages:
+        inside = re.search("(?s)<article>(.*?)(</article>|<footer|$)", page.html)
+        if inside is None:
+            continue
+        blocks = [" ".join(entities.unescape(re.sub("(?s)<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split("</?(?:p|h1)>", inside[1])]
+        truth, mine = Counter(" ".join(filter(None, blocks)).split()), Counter(got[page.page_id].split())
+        right, found, wanted = right + (truth & mine).total(), found + mine.total(), wanted + truth.total()
+    assert wanted > 0 and right / found > 0.99 and right / wanted > 0.99, (right / found, right / wanted)
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "plain &am"), (4, "u", "<![x[ <p>words here.</p>"), (None, "u", "<p>one <b>two<br>three</p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()
@@ -484,6 +533,15 @@ def test_quality_of_held_out(spark):
     assert np.mean([g > b for g in good for b in bad]) > 0.95
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    from support import DATA
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    one, other = ({r.doc_id: r.score for r in quality_model.score(d, labels, held).collect()} for d in (docs, docs.repartition(7)))
+    assert one == other
+
+
 def test_odd_labels(spark, docs, documents, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality_model.score(docs, none, F.lit(False)).collect()} == {0.5}
