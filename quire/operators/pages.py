@@ -6,46 +6,59 @@ A page has a few hundred blocks, so a page is one group; groups are dealt out by
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import kinds
+
 PAGE = ["doc_id", "page_idx"]
-BODIES = {"table_body", "image_body", "image_block_body", "chart_body", "code_body"}
+# What says that a table continues, and what a container holds.
+CONTINUES = ("continued", "continuation", "续表")
 PARENTS = {"equation_block": {"equation"}, "image_block": {"image", "chart", "table"}, "list": {"text", "ref_text", "list_item"}}
 
 
-def _near_above(a, b) -> bool:
-    """Whether box a ends closely above box b, within its sides."""
-    slack = max((b[2] - b[0] if b[2] > b[0] else 1) * 3 // 100, 12)
-    return a[3] <= b[1] and b[1] - a[3] <= max(max(a[3] - a[1], 1) * 3 // 2, 12) and b[0] - slack <= a[2] and a[0] <= b[2] + slack
-
-
-def captions_found(kinds: list[str], boxes: list[tuple], texts: list[str]) -> list[str]:
-    """Kinds after texts next to visuals have become captions, in order, each change seen by the next test."""
-    kinds = list(kinds)
-    for i in range(1, len(kinds) - 1):
-        before, here = boxes[i - 1], boxes[i]
-        if kinds[i] == "text" and kinds[i - 1] == "caption" and kinds[i + 1] in BODIES and _near_above(here, boxes[i + 1]) and before[1] < here[3] and before[3] > here[1]:
-            kinds[i] = "caption"
-    for t in [i for i, k in enumerate(kinds) if k == "table_body"]:
-        captioned = False
-        for i in range(t - 1, -1, -1):
-            if not _near_above(boxes[i], boxes[t]):
-                break
-            if kinds[i] == "caption":
-                captioned = True
-            elif captioned and kinds[i] in ("text", "footnote"):
-                kinds[i] = "caption"
-        first = next((i for i, k in enumerate(kinds) if k not in ("header", "footer", "page_number", "aside_text", "page_footnote")), t)
-        if first < t and kinds[first] == "text" and _near_above(boxes[first], boxes[t]) and any(w in texts[first].lower() for w in ("continued", "continuation", "续表")):
-            kinds[first] = "caption"
-    return kinds
-
-
-def containers_resolved(kinds: list[str], boxes: list[tuple], texts: list[str | None]) -> tuple[list[bool], list[str | None]]:
+def _near_above(box: str, below: str) -> Column:
+    """Whether a box ends closely above another, within its sides; arguments: prefixes of their columns x0, y0, x1, y1."""
+    c = lambda p, n: F.col(p + n)
+    wide, high = F.greatest(c(below, "x1") - c(below, "x0"), F.lit(1)), F.greatest(c(box, "y1") - c(box, "y0"), F.lit(1))
+    side, gap = F.greatest(F.floor(wide * 3 / 100), F.lit(12)), c(below, "y0") - c(box, "y1")
+    return gap.between(0, F.greatest(F.floor(high * 3 / 2), F.lit(12))) & (c(box, "x1") + side >= c(below, "x0")) & (c(box, "x0") - side <= c(below, "x1"))
+
+
+def with_captions(blocks: DataFrame) -> DataFrame:
+    """(doc_id, page_idx, block_idx, kind) in builder kinds, after three rules by which text becomes a caption.
+
+    1. Text beside a caption, right above a visual body.  2. One line of text or a footnote, above a caption of a table, while
+    everything down to the table is closely above it.  3. The first block of a page that is not chrome, if it says that the
+    table below continues.  None of them depends on what the others change, so each is a test over windows of the page;
+    blocks meet only the tables below them on their page."""
+    order = Window.partitionBy(*PAGE).orderBy("block_idx")
+    cols = ["kind", "x0", "y0", "x1", "y1"]
+    b = blocks.select(*PAGE, "block_idx", *cols, F.coalesce("content", F.lit("")).alias("content"))
+    for side, step in (("p_", F.lag), ("n_", F.lead)):
+        b = b.withColumns({side + c: step(c).over(order) for c in cols})
+    beside = (F.col("p_kind") == "caption") & (F.col("p_y0") < F.col("y1")) & (F.col("p_y1") > F.col("y0"))
+    b = b.withColumn("kind", F.when((F.col("kind") == "text") & beside & kinds.is_visual_body(F.col("n_kind")) & _near_above("", "n_"), "caption").otherwise(F.col("kind")))
+    top = F.min(F.when(~kinds.is_chrome(F.col("kind")), F.col("block_idx"))).over(Window.partitionBy(*PAGE))
+    b = b.select(*PAGE, "block_idx", *cols, "content", (F.col("block_idx") == top).alias("top"))
+    tables = b.filter("kind = 'table_body'").select(*PAGE, F.col("block_idx").alias("t_idx"), *[F.col(c).alias(f"t_{c}") for c in cols[1:]])
+    pairs = b.join(tables, PAGE).filter("block_idx < t_idx").withColumn("near", _near_above("", "t_"))
+    up = Window.partitionBy(*PAGE, "t_idx").orderBy(F.desc("block_idx"))
+    down_to = F.min("near").over(up.rowsBetween(Window.unboundedPreceding, 0))
+    captioned = F.max(F.col("kind") == "caption").over(up.rowsBetween(Window.unboundedPreceding, -1))
+    pairs = pairs.withColumns({"down_to": down_to, "captioned": F.coalesce(captioned, F.lit(False))})
+    line = F.col("down_to") & F.col("captioned") & F.col("kind").isin("text", "footnote") & ~F.contains("content", F.lit("\n"))
+    says = F.exists(F.array(*[F.lit(w) for w in CONTINUES]), lambda w: F.contains(F.lower("content"), w))
+    again = F.col("top") & F.col("near") & (F.col("kind") == "text") & says
+    found = pairs.filter(line | again).select(*PAGE, "block_idx", F.lit(True).alias("found")).distinct()
+    out = b.join(found, [*PAGE, "block_idx"], "left")
+    return out.select(*PAGE, "block_idx", F.when(F.coalesce("found", F.lit(False)), "caption").otherwise(F.col("kind")).alias("kind"))
+
+
+def containers_resolved(names: list[str], boxes: list[tuple], texts: list[str | None]) -> tuple[list[bool], list[str | None]]:
     """(which blocks go, contents): a container with several equations takes their contents as an array, one with a
     single equation goes, image blocks and lists go if something of theirs says the same; done in reading order."""
-    gone, texts = [False] * len(kinds), list(texts)
+    gone, texts = [False] * len(names), list(texts)
 
     def inside(i: int, o: int) -> bool:
         a, b = boxes[i], boxes[o]
@@ -53,10 +66,10 @@ def containers_resolved(kinds: list[str], boxes: list[tuple], texts: list[str |
         both = max(0, min(a[2], b[2]) - max(a[0], b[0])) * max(0, min(a[3], b[3]) - max(a[1], b[1]))
         return i != o and size > 0 and both * 10 > size * 9
 
-    for o, kind in enumerate(kinds):
+    for o, kind in enumerate(names):
         if kind not in PARENTS:
             continue
-        children = [i for i, k in enumerate(kinds) if k in PARENTS[kind] and not gone[i] and inside(i, o)]
+        children = [i for i, k in enumerate(names) if k in PARENTS[kind] and not gone[i] and inside(i, o)]
         if kind == "equation_block":
             if len(children) > 1:
                 texts[o] = "\\begin{array}{l} " + " \\\\ ".join(texts[i] or "" for i in children) + " \\end{array}"
@@ -79,15 +92,6 @@ def _by_page(blocks: DataFrame, one, extra: str) -> DataFrame:
     return blocks.select(*cols).groupBy(*PAGE).applyInPandas(run, f"doc_id long, page_idx int, block_idx int, {extra}")
 
 
-def with_captions(blocks: DataFrame) -> DataFrame:
-    """(doc_id, page_idx, block_idx, kind) in builder kinds, after the caption rules."""
-
-    def one(pdf: pd.DataFrame, boxes: list[tuple]) -> pd.DataFrame:
-        return pdf[[*PAGE, "block_idx"]].assign(kind=captions_found(pdf.kind.tolist(), boxes, pdf.content.fillna("").tolist()))
-
-    return _by_page(blocks, one, "kind string")
-
-
 def without_containers(blocks: DataFrame) -> DataFrame:
     """(doc_id, page_idx, block_idx, kind, content) of the blocks that stay when containers are resolved in order."""
 

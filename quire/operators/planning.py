@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import text
+
 MIB, GIB = 1 << 20, 1 << 30
 LAST = 99_999
 
@@ -88,38 +90,39 @@ def numbered_stems(rows: DataFrame, order: str, stem: str) -> DataFrame:
     return rows.withColumn("stem", F.when(n == 1, F.col(stem)).otherwise(F.concat(F.col(stem), F.lit("_"), n.cast("string"))))
 
 
-def _within(stem: str, suffix: str, most: int = 200) -> str:
-    return stem.encode()[: max(0, most - len(suffix.encode()))].decode(errors="ignore") + suffix
-
-
-def unique_stems(stems: list[str]) -> list[str]:
-    """Names that differ in any case, in order; a repeat gets the first _n that no given or assigned name has."""
-    cut = [_within(s, "") for s in stems]
-    given, taken, seen, out = {s.lower() for s in cut}, set(), {}, []
-    for whole, short in zip(stems, cut, strict=True):
-        base = short or whole
-        key = base.lower()
-        count = seen.get(key, 0)
-        name = base
-        if count or key in taken:
-            n = count + 1
-            while (name := _within(base, f"_{n}")).lower() in given or name.lower() in taken:
-                n += 1
-        seen[key] = count + 1
-        taken.add(name.lower())
-        out.append(name)
-    return out
+#: Bytes of a name at most, and of one that a number can follow without cutting it.
+NAME_BYTES, FREE_BYTES = 200, 194
 
 
 def unique_names(rows: DataFrame, batch: str, order: str, stem: str) -> DataFrame:
-    """(batch, order, stem): unique names within each batch of inputs, which is the unit that is planned together."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf.assign(**{stem: unique_stems(pdf[stem].tolist())})
-
-    kept = rows.select(batch, order, stem)
-    return kept.groupBy(batch).applyInPandas(one, kept.schema)
+    """(batch, order, stem): names that differ in any case, within each batch of inputs, which is planned together.
+
+    The first of equal names keeps its name; the next ones get, in order, the numbers from 2 on that make no name that was
+    given.  Names of more than FREE_BYTES bytes that start alike share their numbers, for cutting them could make them equal."""
+    name = F.when(text.truncate_bytes(F.col(stem), NAME_BYTES) != "", text.truncate_bytes(F.col(stem), NAME_BYTES)).otherwise(F.col(stem))
+    given = rows.select(batch, order, stem).withColumn("_name", name).withColumn("_low", F.lower("_name"))
+    given = given.withColumn("_head", F.lower(text.truncate_bytes(F.col("_name"), FREE_BYTES)))
+    nth = F.row_number().over(Window.partitionBy(batch, "_low").orderBy(order))
+    given = given.withColumn("_nth", nth)
+    repeats = given.filter("_nth > 1").withColumn("_rank", F.row_number().over(Window.partitionBy(batch, "_head").orderBy(order)))
+    # Numbers that a name of the batch may hold already: at most as many as names that start like it and end in one.
+    numbered = given.select(batch, F.regexp_extract("_low", "^(.*)_[0-9]+$", 1).alias("_head")).filter("_head <> ''")
+    numbered = numbered.withColumn("_head", text.truncate_bytes(F.col("_head"), FREE_BYTES)).groupBy(batch, "_head").agg(F.count("*").alias("_taken"))
+    groups = repeats.groupBy(batch, "_head").agg(F.max("_rank").alias("_most")).join(numbered, [batch, "_head"], "left").fillna(0, ["_taken"])
+    tries = groups.select(batch, "_head", F.explode(F.sequence(F.lit(2), (F.col("_most") + F.col("_taken") + 1).cast("int"))).alias("_n"))
+    names = repeats.select(batch, "_head", "_low").distinct()
+    made = tries.join(names, [batch, "_head"]).withColumn("_low", F.lower(_numbered(F.col("_low"), F.col("_n"))))
+    clash = made.join(given.select(batch, "_low").distinct(), [batch, "_low"], "left_semi").select(batch, "_head", "_n").distinct()
+    free = tries.join(clash, [batch, "_head", "_n"], "left_anti").withColumn("_rank", F.row_number().over(Window.partitionBy(batch, "_head").orderBy("_n")))
+    dealt = repeats.join(free, [batch, "_head", "_rank"]).select(batch, order, _numbered(F.col("_name"), F.col("_n")).alias(stem))
+    return given.filter("_nth = 1").select(batch, order, F.col("_name").alias(stem)).unionByName(dealt)
+
+
+def _numbered(name: Column, n: Column) -> Column:
+    """A name with a number behind it, cut so that both fit."""
+    end = F.concat(F.lit("_"), n.cast("string"))
+    whole = F.octet_length(name) + F.length(end) <= NAME_BYTES
+    return F.when(whole, F.concat(name, end)).otherwise(F.concat(text.truncate_bytes(name, NAME_BYTES - F.length(end)), end))
 
 
 def pack_bins(pages: list[int], window: int) -> list[int]:

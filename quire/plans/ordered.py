@@ -44,9 +44,9 @@ def d10(t):
     return r.select("doc_id", F.col("first.page_idx").alias("first_page"), F.col("first.block_idx").alias("first_block"), "n")
 
 
-@query("d9_table_continuation_pairs", "blocks", sql="""SELECT doc_id, page_idx FROM (SELECT doc_id, page_idx, arg_min(kind, block_idx) AS f, lag(arg_max(kind, block_idx)) OVER (PARTITION BY doc_id ORDER BY page_idx) AS pl, lag(page_idx) OVER (PARTITION BY doc_id ORDER BY page_idx) AS pp FROM blocks GROUP BY doc_id, page_idx) WHERE f = 'text' AND pl = 'text' AND pp = page_idx - 1""")
+@query("d9_table_continuation_pairs", "blocks", sql="""SELECT doc_id, page_idx FROM (SELECT doc_id, page_idx, arg_min(kind, block_idx) AS f, lag(arg_max(kind, block_idx)) OVER (PARTITION BY doc_id ORDER BY page_idx) AS pl, lag(page_idx) OVER (PARTITION BY doc_id ORDER BY page_idx) AS pp FROM blocks GROUP BY doc_id, page_idx) WHERE f = 'table' AND pl = 'table' AND pp = page_idx - 1""")
 def d9(t):
-    return ordered.page_pairs(t.blocks, "text")
+    return ordered.page_pairs(t.blocks, "table")
 
 
 @query("e2_markdown_join", "blocks", sql="SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY page_idx, block_idx) AS markdown FROM (SELECT *, CASE kind WHEN 'title' THEN concat('# ', content) WHEN 'list' THEN ' ' ELSE content END AS md FROM blocks) WHERE trim(md) <> '' GROUP BY doc_id")
@@ -169,7 +169,8 @@ def s5(t):
     return planning.planned_bins(p, "batch", "doc_id", "n_pages", 16)
 
 
-@query("s10_unique_names", "names")
+@query("s10_unique_names", "names", sql=""", s AS (SELECT id % 10 AS batch, id, suffix AS stem, row_number() OVER (PARTITION BY id % 10, lower(suffix) ORDER BY id) AS nth FROM names)
+  SELECT batch, id, CASE WHEN nth = 1 THEN stem ELSE concat(stem, '_', nth) END AS stem FROM s""")
 def s10(t):
     return planning.unique_names(t.names.select((F.col("id") % 10).alias("batch"), "id", F.col("suffix").alias("stem")), "batch", "id", "stem")
 

@@ -170,7 +170,27 @@ def d8(t):
     return spatial.visual_parents(t.blocks)
 
 
-@query("w3_caption_fallbacks", "blocks")
+def _near_above_sql(box: str, below: str) -> str:
+    gap = f"({below}y0 - {box}y1)"
+    side = f"greatest(greatest({below}x1 - {below}x0, 1) * 3 // 100, 12)"
+    return f"({gap} >= 0 AND {gap} <= greatest(greatest({box}y1 - {box}y0, 1) * 3 // 2, 12) AND {box}x1 + {side} >= {below}x0 AND {box}x0 - {side} <= {below}x1)"
+
+
+_CHROME = "('header', 'footer', 'page_number', 'aside_text', 'page_footnote')"
+_BODY = "('image_body', 'image_block_body', 'table_body', 'chart_body', 'code_body')"
+
+
+@query("w3_caption_fallbacks", "blocks", sql=f""", k AS (SELECT * REPLACE (CASE WHEN kind IN ('image_caption', 'table_caption', 'code_caption') THEN 'caption' WHEN kind IN ('image_footnote', 'table_footnote') THEN 'footnote'
+    WHEN kind IN ('table', 'image', 'chart', 'code', 'image_block') THEN concat(kind, '_body') WHEN kind = 'equation' THEN 'interline_equation' WHEN kind IN ('formula_number', 'index', 'list_item') THEN 'text' ELSE kind END AS kind) FROM blocks),
+  r1 AS (SELECT * REPLACE (CASE WHEN kind = 'text' AND p.kind = 'caption' AND p.y0 < y1 AND p.y1 > y0 AND n.kind IN {_BODY} AND {_near_above_sql("", "n.")} THEN 'caption' ELSE kind END AS kind)
+    FROM (SELECT *, lag(row(kind, y0, y1)::STRUCT(kind VARCHAR, y0 INT, y1 INT)) OVER w AS p, lead(row(kind, x0, y0, x1, y1)::STRUCT(kind VARCHAR, x0 INT, y0 INT, x1 INT, y1 INT)) OVER w AS n FROM k WINDOW w AS (PARTITION BY doc_id, page_idx ORDER BY block_idx))),
+  m AS MATERIALIZED (SELECT *, coalesce(min(block_idx) FILTER (WHERE kind NOT IN {_CHROME}) OVER (PARTITION BY doc_id, page_idx) = block_idx, false) AS first FROM r1),
+  near AS MATERIALIZED (SELECT b.doc_id, b.page_idx, b.block_idx, t.block_idx AS t_idx, b.kind, b.content, b.first, {_near_above_sql("b.", "t.")} AS near FROM m b JOIN m t ON b.doc_id = t.doc_id AND b.page_idx = t.page_idx AND b.block_idx < t.block_idx AND t.kind = 'table_body'),
+  hit AS (SELECT DISTINCT a.doc_id, a.page_idx, a.block_idx FROM near a WHERE a.first AND a.near AND a.kind = 'text' AND regexp_matches(lower(a.content), 'continued|continuation|续表')
+    OR a.kind IN ('text', 'footnote') AND NOT contains(a.content, chr(10)) AND a.near
+      AND NOT EXISTS (SELECT 1 FROM near c WHERE c.doc_id = a.doc_id AND c.page_idx = a.page_idx AND c.t_idx = a.t_idx AND c.block_idx > a.block_idx AND NOT c.near)
+      AND EXISTS (SELECT 1 FROM near c WHERE c.doc_id = a.doc_id AND c.page_idx = a.page_idx AND c.t_idx = a.t_idx AND c.block_idx > a.block_idx AND c.kind = 'caption'))
+  SELECT doc_id, page_idx, block_idx, CASE WHEN hit.block_idx IS NOT NULL THEN 'caption' ELSE m.kind END AS kind FROM m LEFT JOIN hit USING (doc_id, page_idx, block_idx)""")
 def w3(t):
     from quire.functions import kinds
 

@@ -105,8 +105,15 @@ def test_spans(spark):
     assert [tuple(s) for s in got] == [("text", "a "), ("inline_equation", "x"), ("text", " [b] c")]
 
 
-def test_unique_stems():
-    assert planning.unique_stems(["a", "A", "a_2", "a"]) == ["a", "A_3", "a_2", "a_4"]
+def test_unique_names(spark):
+    long = "é" * 100
+    cases = [["r", "R", "r_3", "r", "r_2_x", "R_2", "r", "r_2"], ["", "x", "X", "x"], [long, long + "y", long], ["n"] * 12 + ["n_11", "n_2"]]
+    rows = [(b, i, s) for b, stems in enumerate(cases) for i, s in enumerate(stems)]
+    got = {(r.b, r.i): r.s for r in planning.unique_names(spark.createDataFrame(rows, "b int, i int, s string"), "b", "i", "s").collect()}
+    assert [got[0, i] for i in range(8)] == ["r", "R_4", "r_3", "r_5", "r_2_x", "R_2", "r_6", "r_2_2"]
+    assert [got[1, i] for i in range(4)] == ["", "x", "X_2", "x_3"]
+    assert [got[2, i] for i in range(3)] == [long, "é" * 99 + "_2", "é" * 99 + "_3"]
+    assert [got[3, i] for i in range(14)] == ["n", *(f"n_{k}" for k in (3, 4, 5, 6, 7, 8, 9, 10, 12, 13, 14)), "n_11", "n_2"]
 
 
 def test_bins():

@@ -69,12 +69,26 @@ def test_visual_parents(spark):
     assert got == wanted and len(got) > 100
 
 
-def test_caption_rules():
-    kinds = ["caption", "text", "table_body"]
-    boxes = [(0, 0, 100, 20), (0, 10, 100, 30), (0, 32, 100, 90)]
-    assert pages.captions_found(kinds, boxes, ["a", "b", "c"]) == ["caption", "caption", "table_body"]
-    assert pages.captions_found(["text", "table_body"], [(0, 0, 100, 20), (0, 25, 100, 90)], ["Table 2 continued", ""]) == ["caption", "table_body"]
-    assert pages.captions_found(["text", "table_body"], [(0, 0, 100, 20), (0, 80, 100, 90)], ["continued", ""]) == ["text", "table_body"]
+CAPTIONS = [
+    # beside a caption and right above a body
+    ([("caption", 0, 20, "a"), ("text", 10, 30, "b"), ("image_body", 32, 90, "")], ["caption", "caption", "image_body"]),
+    ([("caption", 0, 10, "a"), ("text", 10, 30, "b"), ("image_body", 32, 90, "")], ["caption", "text", "image_body"]),
+    # the first block says that the table continues
+    ([("header", 0, 5, ""), ("text", 10, 20, "Results, CONTINUED"), ("table_body", 25, 90, "")], ["header", "caption", "table_body"]),
+    ([("text", 0, 20, "continued"), ("table_body", 80, 90, "")], ["text", "table_body"]),
+    ([("text", 0, 5, "x"), ("text", 10, 20, "continued"), ("table_body", 25, 90, "")], ["text", "text", "table_body"]),
+    # one line above a caption of a table
+    ([("text", 0, 20, "line"), ("caption", 15, 28, "Table 1"), ("table_body", 30, 90, "")], ["caption", "caption", "table_body"]),
+    ([("text", 0, 20, "two\nlines"), ("caption", 15, 28, "Table 1"), ("table_body", 30, 90, "")], ["text", "caption", "table_body"]),
+    ([("footnote", 0, 20, "line"), ("title", 15, 16, "far"), ("caption", 15, 28, ""), ("table_body", 30, 90, "")], ["footnote", "title", "caption", "table_body"]),
+]
+
+
+def test_caption_rules(spark):
+    rows = [(d, 0, i, kind, 0, y0, 100, y1, text) for d, (page, _) in enumerate(CAPTIONS) for i, (kind, y0, y1, text) in enumerate(page)]
+    got = pages.with_captions(spark.createDataFrame(rows, "doc_id long, page_idx int, block_idx int, kind string, x0 int, y0 int, x1 int, y1 int, content string")).collect()
+    found = {(r.doc_id, r.block_idx): r.kind for r in got}
+    assert [[found[d, i] for i in range(len(page))] for d, (page, _) in enumerate(CAPTIONS)] == [kinds for _, kinds in CAPTIONS]
 
 
 def test_containers():
