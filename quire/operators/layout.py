@@ -10,7 +10,7 @@ from quire.functions import kinds
 
 # The tokens of layout text.
 HEADER = r"<\|box_start\|>[0-9]+\s+[0-9]+\s+[0-9]+\s+[0-9]+<\|box_end\|><\|ref_start\|>[A-Za-z0-9_]+<\|ref_end\|>(?:<\|rotate_(?:up|right|down|left)\|>)?"
-PARTS = r"<\|box_start\|>([0-9]+)\s+([0-9]+)\s+([0-9]+)\s+([0-9]+)<\|box_end\|><\|ref_start\|>([A-Za-z0-9_]+)<\|ref_end\|>(?:<\|rotate_(up|right|down|left)\|>)?"
+MARKS = r"(?:<\||\|>|\s)+"
 CONTINUES = "txt_contd_tgt"
 MAX_BLOCKS = 256
 
@@ -23,14 +23,15 @@ def keep_unknown(layout):
 def headers(pages: DataFrame, layout: str = "layout") -> DataFrame:
     """All headers in the text with their numbers, kind, rotation and whether the text after it continues; bad ones too."""
     tail = F.split(F.col(layout), HEADER, -1)
-    # The tails ride along as an array: the text is scanned twice per page, not per block.
-    one = pages.select("*", F.posexplode(F.arrays_zip(F.regexp_extract_all(layout, F.lit(HEADER), F.lit(0)).alias("token"), F.slice(tail, 2, 1 << 30).alias("after"))).alias("pos", "h"))
-    part = lambda k: F.regexp_extract("h.token", PARTS, k)
+    found = F.arrays_zip(F.regexp_extract_all(layout, F.lit(HEADER), F.lit(0)).alias("token"), F.slice(tail, 2, 1 << 30).alias("after"))
+    # The text is scanned twice per page, not per block, and a token is cut once: at its marks, into
+    # nothing, box_start, four numbers, box_end, ref_start, the kind, ref_end and maybe a rotation.
+    cut = F.transform(found, lambda h: F.struct(F.split(h["token"], MARKS).alias("p"), F.coalesce(F.contains(h["after"], F.lit(CONTINUES)), F.lit(False)).alias("continues")))
+    one = pages.select("*", F.posexplode(cut).alias("pos", "h"))
     rest = [c for c in pages.columns if c != layout]
-    return one.select(
-        *rest, "pos", *[part(k).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)], part(5).alias("kind"), kinds.rotation(F.nullif(part(6), F.lit(""))).alias("angle"),
-        F.coalesce(F.contains(F.col("h.after"), F.lit(CONTINUES)), F.lit(False)).alias("continues"),
-    )
+    part = lambda i: F.col("h.p")[i]
+    angle = kinds.rotation(F.substring_index(F.nullif(F.get("h.p", F.lit(10)), F.lit("")), "_", -1))
+    return one.select(*rest, "pos", *[part(k + 1).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)], part(8).alias("kind"), angle.alias("angle"), "h.continues")
 
 
 def parse(pages: DataFrame, layout: str = "layout") -> DataFrame:

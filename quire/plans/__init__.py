@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import blocks, ordered, service, tables, texts  # noqa: F401  they register their queries
+from quire.plans import assembly, blocks, ordered, service, tables, texts  # noqa: F401  they register their queries
 from quire.plans.registry import ORACLES, QUERIES
 
 

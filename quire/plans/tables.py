@@ -31,11 +31,11 @@ _HEAD = "<tr><td>qty</td><td>part</td><td>status</td></tr>"
 
 
 def _halves(t):
-    rows = t.otsl_rows.withColumn("part", F.when(F.col("n") <= 3, 0).otherwise(1))
-    listed = F.sort_array(F.collect_list(F.struct(*_ORDER)))
-    html = rows.groupBy("order_key", "part").agg(F.array_join(F.transform(listed, lambda x: x["row_text"]), "").alias("otsl")).withColumn("html", F.regexp_replace(tables.otsl_html_udf("otsl"), "^<table>", f"<table>{_HEAD}"))
-    a, b = (html.filter(F.col("part") == k).select("order_key", F.col("html").alias(n)) for k, n in ((0, "previous"), (1, "current")))
-    return a.join(b, "order_key")
+    """(order_key, previous, current): the tables of the first three lines and of the others, each under the header."""
+    half = lambda keep: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(keep, F.struct(*_ORDER)))), lambda x: x["row_text"]), "")
+    both = t.otsl_rows.groupBy("order_key").agg(half(F.col("n") <= 3).alias("a"), half(F.col("n") > 3).alias("b")).filter("a <> '' and b <> ''")
+    headed = lambda c: tables.otsl_html_udf(F.concat(F.lit("<fcel>qty<fcel>part<fcel>status<nl>"), F.col(c)))
+    return both.select("order_key", headed("a").alias("previous"), headed("b").alias("current"))
 
 
 _BOTH = f"({_oracle_rows('l_linenumber <= 3')}) a JOIN ({_oracle_rows('l_linenumber > 3')}) b USING (order_key)"
