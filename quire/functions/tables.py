@@ -275,10 +275,52 @@ def _widened(rows: list[list[Cell]], grid: Grid, start: int, like: list[Cell], m
     return out
 
 
-def merge(previous_html: str, current_html: str, previous_width: int, current_width: int) -> str | None:
+def columns(grid: Grid, r: int, taken: set[int] = frozenset()) -> dict[int, int]:
+    """The cell of a row that stands in each column; taken: columns that cells above the table reach into."""
+    if not taken:
+        return {c: k for k, cell in enumerate(grid.rows[r]) for c in range(grid.starts[r, k], grid.starts[r, k] + cell.cols)}
+    out, at = {}, 0
+    for k, cell in enumerate(grid.rows[r]):
+        while at in taken:
+            at += 1
+        out.update(dict.fromkeys(range(at, at + cell.cols), k))
+        at += cell.cols
+    return out
+
+
+def _without_row(rows: list[list[Cell]]) -> list[list[Cell]]:
+    """Rows after the first one, which goes: its empty cells that reach below stand in the next row, a row shorter."""
+    grid, rest = Grid(rows), [list(r) for r in rows[1:]]
+    if rest:
+        row = sorted([(grid.starts[1, k], c) for k, c in enumerate(rest[0])] + [(grid.starts[0, k], replace(c, rows=c.rows - 1)) for k, c in enumerate(rows[0]) if c.rows > 1 and not c.has_content], key=lambda x: x[0])
+        rest[0] = [c for _, c in row]
+    return rest
+
+
+def joined_cells(before: list[list[Cell]], after: list[list[Cell]], flags: list) -> tuple[list[list[Cell]], list[list[Cell]]]:
+    """The rows above and below a page's end, where flagged columns go on: the upper cell takes the lower one's content.
+
+    A lower row that is left without content goes."""
+    if not before or not after:
+        return before, after
+    grid = Grid(before)
+    upper = columns(grid, len(before) - 1)
+    lower = columns(Grid(after), 0, {c for r, c in grid.places if r == len(before)})
+    pairs = sorted({(upper[c], lower[c]) for c, flag in enumerate(flags) if flag in (1, True) and c in upper and c in lower})
+    last, first = list(before[-1]), list(after[0])
+    for a, b in pairs:
+        last[a] = replace(last[a], content=last[a].content + after[0][b].content)
+    for _, b in pairs:
+        first[b] = replace(first[b], content="")
+    rest = [first, *after[1:]] if any(c.has_content for c in first) else _without_row([first, *after[1:]])
+    return [*before[:-1], last], rest
+
+
+def merge(previous_html: str, current_html: str, previous_width: int, current_width: int, flags: list | None = None) -> str | None:
     """One table of two that continue each other; null if they do not.
 
-    Their widths on the page differ by less than a tenth, their columns fit; the repeated header goes."""
+    Their widths on the page differ by less than a tenth, their columns fit; the repeated header goes.  flags: for each
+    column whether the cell at the page's end goes on in the next table."""
     if min(previous_width, current_width) <= 0 or abs(previous_width - current_width) * 10 >= min(previous_width, current_width):
         return None
     before, after = parse(previous_html), parse(current_html)
@@ -293,7 +335,10 @@ def merge(previous_html: str, current_html: str, previous_width: int, current_wi
             after = _widened(after, b, header, before[-1], after[header], a.total)
         elif b.total > a.total:
             before = _widened(before, a, 0, after[header], before[-1], b.total)
-    return serialise(before + after[header:])
+    rest = after[header:]
+    if flags:
+        before, rest = joined_cells(before, rest, flags)
+    return serialise(before + rest)
 
 
 def shape(html: str) -> tuple[int, int, int, int] | None:
@@ -315,6 +360,30 @@ def merge_udf(previous: pd.Series, current: pd.Series, previous_width: pd.Series
     return pd.Series([merge(*x) for x in zip(previous, current, previous_width, current_width, strict=True)], dtype="object")
 
 
+@F.pandas_udf(T.StringType())
+def merge_cells_udf(previous: pd.Series, current: pd.Series, previous_width: pd.Series, current_width: pd.Series, flags: pd.Series) -> pd.Series:
+    rows = zip(previous, current, previous_width, current_width, flags, strict=True)
+    return pd.Series([merge(*x[:4], None if x[4] is None else list(x[4])) for x in rows], dtype="object")
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("row", "cell", "first", "last", "depth")])))
+def cells_udf(values: pd.Series) -> pd.Series:
+    """Each cell of a table with the columns it covers and the rows it reaches down."""
+
+    def one(html: str | None) -> list | None:
+        rows = parse(html) if html is not None else None
+        grid = Grid(rows) if rows is not None else None
+        return None if grid is None else [(r, k, grid.starts[r, k], grid.starts[r, k] + c.cols - 1, c.rows) for r, row in enumerate(rows) for k, c in enumerate(row)]
+
+    return values.map(one)
+
+
+def column_sources(frame, keys: list[str], html: str):
+    """(keys..., row, column, cell): which cell of a row stands in each column of a table; a row that one reaches from above has none there."""
+    cells = frame.select(*keys, F.explode(cells_udf(html)).alias("c")).select(*keys, "c.*")
+    return cells.select(*keys, "row", F.explode(F.sequence("first", "last")).alias("column"), "cell")
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.IntegerType()) for n in ("rows", "columns", "last", "tail")]))
 def shape_udf(values: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([shape(x) or (None,) * 4 for x in values], columns=["rows", "columns", "last", "tail"]).astype("Int32")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from support import DATA
 
 from quire import sinks
-from quire.operators import layout, pages, spatial
+from quire.operators import layout, pages, render, spatial
 from quire.sources import derived, files
 
 
@@ -150,3 +150,81 @@ def test_document_markdown(spark, text):
     page = "<|box_start|>0 0 500 100<|box_end|><|ref_start|>title<|ref_end|>" + text + "<|box_start|>0 100 900 900<|box_end|><|ref_start|>table<|ref_end|><|box_start|>10 200 800 300<|box_end|><|ref_start|>text<|ref_end|>"
     got = pages.document_markdown(spark.createDataFrame([(1, 0, page), (1, 1, page)], "doc_id long, page_idx int, layout string")).collect()
     assert [r.markdown for r in got] == ["# block 0\n\ntable 1\n\n# block 0\n\ntable 1"]
+
+
+def _stand_in():
+    """A stand-in model: a layout for the page's name, and replies that are bad until the temperature has gone up."""
+
+    def answer(body):
+        image, prompt = body["messages"][0]["content"][0]["image_url"]["url"], body["messages"][0]["content"][1]["text"]
+        box = lambda a, kind: f"<|box_start|>{a} {a} {a + 200} {a + 200}<|box_end|><|ref_start|>{kind}<|ref_end|>\n"
+        if "Layout" in prompt:
+            said = {"p0": box(0, "title") + box(300, "table") + box(350, "text") + box(600, "list_item"), "p1": "", "p2": box(0, "text") * 3}[image]
+        elif "Table" in prompt:
+            said = "<fcel>a<fcel>b<nl>"
+        else:
+            said = "" if image.startswith("p2") and body["temperature"] < 0.4 else f"- {image}<|im_end|>"
+        return {"choices": [{"message": {"content": said}, "finish_reason": "stop"}]}
+
+    return answer
+
+
+def test_pages_in_two_steps(spark, tmp_path):
+    from quire.operators import recognition
+
+    answer = _stand_in()
+    model = lambda: answer  # noqa: E731  a closure goes to the workers by value
+    rows = spark.createDataFrame([(1, i, f"p{i}") for i in range(3)], "doc_id long, page_idx int, image string")
+    blocks, warnings = recognition.two_step(rows, model, str(tmp_path / "a"), most_requests=2)
+    got = {(r.page_idx, r.block_idx): (r.kind, r.content) for r in blocks.collect()}
+    assert got == {
+        (0, 0): ("title", "- p0#0,0,200,200"), (0, 1): ("table", "<table><tr><td>a</td><td>b</td></tr></table>"), (0, 2): ("text", None), (0, 3): ("text", None),
+        (2, 0): ("text", "- p2#0,0,200,200"), (2, 1): ("text", "- p2#0,0,200,200"), (2, 2): ("text", None),
+    }
+    told = sorted((r.page_idx, r.warning) for r in warnings.collect())
+    assert told == [(0, "semantic requests exceed the per-page cap of 2")] + sorted([(2, "semantic requests exceed the per-page cap of 2")] + [(2, f"content: temperature retry: temperature={t} quality=blank") for t in ("0.2", "0.4")] * 2)
+    blocks, _ = recognition.two_step(rows, model, str(tmp_path / "b"), most_blocks=3, tables_on=False)
+    assert {r.page_idx for r in blocks.collect()} == {2}
+
+
+def test_retries_of_a_reply():
+    from quire.operators import recognition
+
+    seen = []
+
+    def ask(body):
+        seen.append((body["temperature"], body.get("top_k"), body.get("top_p")))
+        return {"choices": [{"message": {"content": "same words " * 40}, "finish_reason": "length"}]}
+
+    got = recognition.Careful(ask)({"temperature": 0.5, "top_k": 1, "top_p": 0.01})
+    assert seen == [(0.5, 1, 0.01), (0.7, 40, 0.9), (0.9, 40, 0.9), (1.0, 40, 0.9)] and len(got["warnings"]) == 3
+    assert recognition.failure("", "layout") is None and recognition.failure("a\x01") == "control-character" and recognition.failure("fine") is None
+    assert recognition.Careful(lambda b: {"error": {"message": "x"}})({})["warnings"] == ["content: error object: x"]
+
+
+def test_joined_cells():
+    from quire.functions import tables
+
+    flat = lambda *rows: "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+    head = ("h", "i")
+    assert tables.merge(flat(head, ("a", "b")), flat(head, ("c", "d"), ("e", "f")), 10, 10, [1, 0]) == flat(head, ("ac", "b"), ("", "d"), ("e", "f"))
+    assert tables.merge(flat(head, ("a", "b")), flat(head, ("c", "d"), ("e", "f")), 10, 10, [True, 1]) == flat(head, ("ac", "bd"), ("e", "f"))
+    # A lower row that goes leaves its empty cell, which reaches below, to the next one.
+    tall = '<table><tr><td>h</td><td>i</td></tr><tr><td>c</td><td rowspan="2"></td></tr><tr><td>e</td></tr></table>'
+    assert tables.merge(flat(head, ("a", "b")), tall, 10, 10, [1, 0]) == flat(head, ("ac", "b"), ("e", ""))
+
+
+def test_paragraphs(spark):
+    def text(lines, kind="text", item=False, **more):
+        frame = spark.createDataFrame([([[{"type": t, "content": c} for t, c in line] for line in lines], kind, item)], "lines array<array<struct<type:string,content:string>>>, kind string, item boolean")
+        return frame.select(render.paragraph_text(F.col("lines"), F.col("kind"), F.col("item"), **more)).first()[0]
+
+    t, m, d = "text", "inline_equation", "interline_equation"
+    assert text([[(t, "one inter-")], [(t, "national")], [(t, "law")]]) == "one international law"
+    assert text([[(t, "one inter-")], [(t, "National")]]) == "one inter-National"
+    assert text([[(t, "a "), (m, "x"), (t, " b")], [(t, "  ")]]) == "a $x$ b"
+    assert text([[(t, "中文")], [(t, "继续"), (m, "x")], [(t, "完")]]) == "中文继续 $x$ 完"
+    assert text([[(t, "- item")]]) == "\\- item" and text([[(t, "- item")]], item=True) == "- item"
+    assert text([[(t, "a*b")]]) == "a\\*b" and text([[(t, "a*b")]], kind="code_body") == "a*b"
+    assert text([[(t, "see"), (d, "y")]]) == "see$$\ny\n$$" and text([[(t, "see"), (d, "y")]], formulas=False) == "see"
+    assert text([]) == ""
