@@ -8,8 +8,8 @@
    that both hold.  Pairs that share rare shingles are enumerated from these (RARE texts each at most); for all others
    the bound is the number of a text's frequent shingles.  Texts that differ from a large group by shingles of their
    own, and cannot reach the threshold with any of it, are so never paired with the group.
-4. In each bucket the texts are first compared with one hub only, HUB_ROUNDS times; after each round the components
-   are found, and buckets that lie within one component are done.  The pairs between components that then remain,
+4. In each bucket the texts are first compared with one hub only, HUB_ROUNDS times; after each round the components of
+   all links are found, and buckets that lie within one component are done.  The pairs between components that then remain,
    and that the bound admits, are all compared.
 5. A pair's sketches are compared BATCH hashes at a time; it is dropped as soon as the posterior probability (uniform
    prior) that its similarity reaches the threshold falls below MISS.  Survivors are confirmed on their full sets.
@@ -45,7 +45,7 @@ BANDS, ROWS = 64, 6
 SKETCH, BATCH, MISS = 256, 32, 1e-6
 #: A shingle in at most so many texts is rare.
 RARE = 4
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 _RNG = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -226,11 +226,11 @@ class _Search:
         table = self.scratch.table
         core, rare = self.bounds()
         links = self.linked(rare, False, "rare").unionByName(given)
-        found = table(components(links, self.scratch, "components-rare"), "found-rare")
+        found = None
         core = table(self.buckets.join(core, "node"), "core")
         side = [F.col(c).alias(f"{c}2") for c in ("node", "n", "c", "component")]
         for k in range(HUB_ROUNDS + 1):
-            at = core.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            at = core.withColumn("component", F.col("node")) if found is None else core.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
             # The least node is the hub of the first round; other rounds take other hubs, dealt by bucket.
             order = F.col("node") if k == 0 else F.xxhash64("node", "band", F.lit(k))
             hubs = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct(*side), order).alias("hub"))
@@ -248,8 +248,8 @@ class _Search:
             pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
             new = self.linked(pairs, k < HUB_ROUNDS, f"round-{k}")
             self.scratch.drop(f"hubs-{k}")
-            if not new.isEmpty():
-                links = new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            if k == 0 or not new.isEmpty():
+                links = new.unionByName(links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")))
                 found = table(components(links, self.scratch, f"components-{k}"), f"found-{k}")
         return found
 
