@@ -4,8 +4,8 @@ Every line is judged alone by rules on punctuation, navigation and boilerplate;
 document that loses more than MAX_LOST of its characters with them is rejected.  A few measures of the whole text
 reject documents before that (too short, mostly repeated three-word windows).
 
-Null and empty texts have no words and are rejected.  Each row is judged by itself, so ties, repeated rows, null ids
-and further columns change nothing; an empty table gives no rows.
+Null and empty texts have no words and are rejected; texts of any length are judged whole.  Each row is judged by
+itself, so ties, repeated rows, null ids and further columns change nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,21 +32,24 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _held(text: Column, chars: str) -> Column:
+    """How many characters of a text are among some; most texts have none, and one search tells."""
+    one = "[" + "".join("\\" + c if c in "[]\\^-&" else c for c in chars) + "]"
+    return F.when(text.rlike(one), F.length(text) - F.length(F.regexp_replace(text, one + "+", ""))).otherwise(0)
 
 
 def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1)), " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
 
 
 def repeated_words(w: Column) -> Column:
     """How many words stand in a three-word window that the text holds twice or more.
 
-    w: a lambda variable, for it is looked up for every word.  Windows are compared by a 64-bit hash: sorted with
-    their places, equal neighbours are repeats."""
-    n = F.size(w)
-    windows = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    w: a lambda variable, for it is looked up for every word.  Windows are compared by a 64-bit hash of their words'
+    hashes.  Only where some are equal are they sorted with their places, so that equal neighbours are repeats."""
+
+    def windows(h: Column) -> Column:
+        return F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2)))
 
     def starts(s: Column) -> Column:
         same = F.filter(s, lambda x, j: (x["h"] == F.get(s, j + 1)["h"]) | (x["h"] == F.get(s, j - 1)["h"]))
@@ -56,21 +59,25 @@ def repeated_words(w: Column) -> Column:
         gaps = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, j: F.least(x - F.get(p, j), F.lit(3)))
         return F.when(F.size(p) == 0, 0).otherwise(F.aggregate(gaps, F.lit(3), lambda a, b: a + b))
 
-    return _let(F.sort_array(windows), lambda s: _let(starts(s), covered))
+    def counted(g: Column) -> Column:
+        placed = F.sort_array(F.transform(g, lambda x, i: F.named_struct(F.lit("h"), x, F.lit("i"), i)))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), 0).otherwise(_let(placed, lambda s: _let(starts(s), covered)))
+
+    return _let(_let(F.transform(w, lambda x: F.xxhash64(x)), windows), counted)
 
 
 def line_fails(line: Column) -> Column:
     """The rules on one line (a lambda variable); a line without a word passes (it carries nothing)."""
     n = F.length(line)
-    symbols = (n - _without(line, SYMBOLS)) > MAX_SYMBOLS * n
-    shouts = (n - _without(line, "!")) > MAX_SHOUTS * n
-    capitals = ((n - _without(line, UPPER)) > MAX_CAPITALS * n) & (n >= 10)
+    symbols = _held(line, SYMBOLS) > MAX_SYMBOLS * n
+    shouts = line.contains("!") & (_held(line, "!") > MAX_SHOUTS * n)
+    capitals = (n >= 10) & ((n - F.length(F.regexp_replace(line, "[A-Z]+", ""))) > MAX_CAPITALS * n)
 
     def short_rules(trimmed: Column) -> Column:
         low = F.lower(trimmed)
-        phrases = F.exists(F.array(*[F.lit(x) for x in BOILERPLATE]), lambda x: F.contains(low, x))
+        phrases = _let(low, lambda x: F.exists(F.array(*[F.lit(y) for y in BOILERPLATE]), lambda y: F.contains(x, y)))
         menu = F.rtrim(F.translate(low, ".!:", "")).isin(*NAVIGATION)
-        separators = (n - _without(line, SEPARATORS)) >= MAX_SEPARATORS
+        separators = _held(line, SEPARATORS) >= MAX_SEPARATORS
         return (F.length(trimmed) < SHORT_LINE) & (~F.substring(trimmed, -1, 1).isin(*ENDS) | menu) | (F.length(trimmed) < 5 * SHORT_LINE) & (separators | phrases)
 
     return _let(F.btrim(line, F.lit(SPACES)), lambda t: (F.length(t) > 0) & (symbols | shouts | capitals | short_rules(t)))
@@ -79,31 +86,36 @@ def line_fails(line: Column) -> Column:
 def judgement(text: Column) -> Column:
     """A struct of the measures of a text, the verdict, and the text without the lines that fail."""
     t = F.coalesce(text, F.lit(""))
-    by_word = _let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
+
+    def by_word(w: Column) -> Column:
+        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"))
 
     def by_line(lines: Column) -> Column:
         worded = F.filter(lines, lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
         dups = _let(worded, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-        passing = F.filter(lines, lambda x: ~line_fails(x))
-        return F.struct(dups.cast("long").alias("n_dup_lines"), F.array_join(passing, "\n").alias("cleaned"), _let(passing, F.size).alias("n_lines"))
+        passing = _let(F.filter(lines, lambda x: ~line_fails(x)), lambda x: F.struct(F.array_join(x, "\n").alias("text"), F.size(x).alias("n")))
+        return F.struct(dups.cast("long").alias("n_dup_lines"), passing.alias("passing"))
 
     def verdict(parts: Column) -> Column:
         w, x = parts["w"], parts["l"]
         failed = (w["n_words"] < MIN_WORDS) | (100 * w["n_repeat_words"] > MAX_REPEATED * w["n_words"])
-        lost = (F.length(t) - F.length(x["cleaned"]) + F.when(x["n_lines"] == 0, 1).otherwise(0)).cast("long")
+        lost = (parts["n"] - F.length(x["passing"]["text"]) + F.when(x["passing"]["n"] == 0, 1).otherwise(0)).cast("long")
+        fine = ~failed & (lost <= MAX_LOST * parts["n"])
         return F.struct(
-            w["n_words"].alias("n_words"), _without(t, SPACES).cast("long").alias("word_chars"), (F.length(t) - _without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+            w["n_words"].alias("n_words"), w["word_chars"].alias("word_chars"), _held(t, SYMBOLS).cast("long").alias("n_symbols"),
             x["n_dup_lines"].alias("n_dup_lines"), w["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), lost.alias("lost_chars"),
-            (~failed & (lost <= MAX_LOST * F.length(t))).alias("kept"), x["cleaned"].alias("cleaned"),
+            fine.alias("kept"), x["passing"]["text"].alias("cleaned"),
         )
 
-    return _let(F.struct(by_word.alias("w"), _let(F.split(t, "\n", -1), by_line).alias("l")), verdict)
+    parts = F.struct(_let(words(text), by_word).alias("w"), _let(F.split(t, "\n", -1), by_line).alias("l"), F.length(t).alias("n"))
+    return _let(parts, verdict)
 
 
-def judge(docs: DataFrame, text: str = "text", only_kept: bool = False) -> DataFrame:
-    """docs with a struct ``judgement`` added: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+def judge(docs: DataFrame, text: str = "text", only_kept: bool = False, name: str = "judgement") -> DataFrame:
+    """docs with a struct ``name`` added, in place of a column that has its name: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     lost_chars, kept and cleaned (the text without the lines that fail). only_kept: rows that are kept.
 
     The judgement is the element of an exploded array, so that no rule of the optimiser evaluates it twice."""
     one = F.array(judgement(F.col(text)))
-    return docs.select("*", F.explode(F.filter(one, lambda j: j["kept"]) if only_kept else one).alias("judgement"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()]
+    return docs.select(*others, F.explode(F.filter(one, lambda j: j["kept"]) if only_kept else one).alias(name))
