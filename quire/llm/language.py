@@ -10,7 +10,9 @@ shards of some languages and some preceding bytes, of MODEL_CELLS entries at mos
 and held at once; one byte of one language may be alone above it, by its 65,793 contexts).  Each text meets every shard.
 
 Rows with a null text, or a text without a letter, are ``und`` with score 0.  Without any labelled row all are.  Each
-row is judged by its text alone; ties go to the first language by name; an empty table gives no rows.
+row is judged by its text alone, read whole whatever its length; repeated rows and null ids change nothing but the
+counts; ties go to the first language by name; other columns have no part, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations

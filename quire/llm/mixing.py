@@ -7,7 +7,9 @@ shares one hash.  Budgets above the source's own size take every document once (
 threshold for the rest, so thresholds of growing budgets are nested.
 
 Null texts have size 0; a null source is a source of its own, the last; documents without an id hash as one id (they
-are taken together), as are repeated ids; an empty table gives no rows.  Other columns are carried along unchanged.
+are taken together), as are repeated ids; an empty table gives no rows.  Texts of any length are counted whole.
+Documents that tie at a threshold (one hash) come in together or not at all.  Other columns, whatever their names, are
+carried along unchanged by mixed_documents.  The shares of sources are found by windows over one row a source.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.names import fresh
 from quire.llm.scratch import Scratch
 
 BITS, STEP = 60, 12
@@ -111,6 +114,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken, with the columns of docs."""
-    chosen = mix(docs, doc_id, text, source).filter("copies > 0").groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    out = docs.join(chosen, docs[doc_id].eqNullSafe(F.col("__id")) & docs[source].eqNullSafe(F.col("__source")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    id_, of, copies = fresh(docs, "id", "source", "copies")
+    chosen = mix(docs, doc_id, text, source).filter("copies > 0").groupBy(F.col("doc_id").alias(id_), F.col("source").alias(of)).agg(F.max("copies").alias(copies))
+    # One row an id and source, in a table of its own, so that rows that repeat an id can be split in the join.
+    chosen = Scratch(docs.sparkSession, "mixed").table(chosen, "chosen")
+    out = docs.join(chosen, F.col(doc_id).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(of)))
+    return out.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

@@ -45,7 +45,7 @@ BANDS, ROWS = 64, 6
 SKETCH, BATCH, MISS = 256, 32, 1e-6
 #: A shingle in at most so many texts is rare.
 RARE = 4
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 _RNG = np.random.Generator(np.random.PCG64(75))
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ODD = _RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -235,6 +235,8 @@ class _Search:
             order = F.col("node") if k == 0 else F.xxhash64("node", "band", F.lit(k))
             hubs = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by(F.struct(*side), order).alias("hub"))
             hubs = table(hubs.filter("low < high").select("band", "hub"), f"hubs-{k}")  # on its own, so that a large bucket can be split in the join
+            if hubs.isEmpty():  # all buckets are done
+                break
             if k < HUB_ROUNDS:
                 pairs = at.join(hubs.select("band", "hub.*"), "band").filter("component <> component2")
             else:
@@ -248,29 +250,37 @@ class _Search:
             pairs = pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
             new = self.linked(pairs, k < HUB_ROUNDS, f"round-{k}")
             self.scratch.drop(f"hubs-{k}")
-            if k == 0 or not new.isEmpty():
-                links = new.unionByName(links if found is None else found.select(F.col("node").alias("a"), F.col("component").alias("b")))
-                found = table(components(links, self.scratch, f"components-{k}"), f"found-{k}")
-        return found
+            if found is None:
+                links = links.unionByName(new)
+            elif not new.isEmpty():
+                links = new.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            else:
+                continue
+            found = table(components(links, self.scratch, f"components-{k}"), f"found-{k}")
+        return table(components(links, self.scratch, "components"), "found") if found is None else found
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; component_id: the least id that links reach; kept: that id's own rows."""
     scratch = Scratch(docs.sparkSession, "near")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    features = scratch.table(texts.mapInArrow(_features, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"), "features")
+    features = texts.mapInArrow(_features, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary")
+    features = scratch.table(features.withColumn("row", F.monotonically_increasing_id()), "features")
     sets = ["n_shingles", "f1", "f2"]
-    # Equal sets have equal bands and sketches.
-    classes = features.filter("n_shingles > 0").groupBy(*sets).agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = scratch.table(classes, "classes")
+    # Each class by one of its rows, that with the least id; only narrow rows are sorted.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("one")
+    classes = features.filter("n_shingles > 0").groupBy(*sets).agg(least)
+    classes = scratch.table(classes.select(*sets, F.col("one.doc_id").alias("node"), "one.row"), "classes")
     members = scratch.table(features.select("doc_id", *sets).join(classes.select(*sets, "node"), sets, "left").select("doc_id", "n_shingles", "node"), "members")
-    scratch.drop("features")
+    chosen = classes.filter("node is not null").select("row", "node").hint("shuffle_hash")
+    reps = scratch.table(features.join(chosen, "row").select("node", "n_shingles", "bands", "sketch"), "reps")
+    scratch.drop("features", "classes")
     # An id with several texts stands for them all.
     nodes = members.filter("doc_id is not null and node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
     nodes = scratch.table(nodes.select("doc_id", "b"), "repeated")
     given = members.join(nodes, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    found = _Search(classes.filter("node is not null"), texts, scratch).components(given)
-    scratch.drop("classes")
+    found = _Search(reps, texts, scratch).components(given)
+    scratch.drop("reps")
     out = members.join(found, "node", "left")
     component = F.coalesce("component", "node", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

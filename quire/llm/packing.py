@@ -8,7 +8,10 @@ sequences as the tokens need, so when a document fits nowhere it is cut at the r
 All sequences of a group but one are full.
 
 Null and empty texts have the end token only.  Every row is a document of its own, also when ids repeat or are null;
-other columns have no part.  An empty table gives no rows.  Sequence ids are unique, but have no meaning.
+other columns have no part, whatever their names.  Ties in length go by the order of rows in the task, ties in cost to
+the first sequence.  An empty table gives no rows.  Sequence ids are unique, but have no meaning.  Words are told apart
+by 64-bit hashes.  The file's tokenizer has to lower-case, split by one pattern and drop white space (checked on load);
+with others the tokenizer itself is asked, text by text.
 """
 
 from __future__ import annotations
@@ -47,7 +50,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            split = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            split = self._splitter(json.load(f))
+        self.by_word = split is not None
+        split = split or ""
         self.model = self.tokenizer.model
         self.split, self.plain = regex.compile(split), regex.compile(_PLAIN)
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
@@ -57,6 +62,23 @@ class WordIds:
         self.pieces: dict[str, list[int]] = {}
         self._clear()
 
+    def _splitter(self, file: dict) -> str | None:
+        """The one pattern by which a file's tokenizer splits, if that is all it does besides lower-casing; else null."""
+        steps = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = (steps[0].get("pattern") or {}).get("Regex")
+        if not split or file.get("model", {}).get("type") != "BPE" or any(x.get("type") not in ("Split", "ByteLevel") for x in steps):
+            return None
+        # Whether words may go to the tokenizer one by one: white space and case leave no trace.
+        probe = ["Word", "it's", "a-b.c", "ÀÉ", "12,5", "x_y", "…"]
+        one_by_one = [i for w in probe for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        joined = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" ".join(probe), "\n\t " + "  \n".join(probe) + " \x0b", " ".join(probe).lower())]
+        return split if all(x == one_by_one for x in joined) else None
+
+    def _whole(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text by the tokenizer itself."""
+        ids = [self.tokenizer.encode(raw[a:b].tobytes().decode(), add_special_tokens=False).ids for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+        return np.array([i for x in ids for i in x], np.int32), np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int64)
+
     def _clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -81,6 +103,8 @@ class WordIds:
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a chunk, start of each text's ids and the end of all)."""
+        if not self.by_word:
+            return self._whole(raw, starts)
         words, first, last, at = hashed_words(raw, starts, lower=False)
         if not len(words):
             return np.zeros(0, np.int32), np.zeros(len(starts), np.int64)

@@ -5,7 +5,9 @@ next bit, and only such buckets do, until every shard fits.  Sizes are summed fo
 of oversized buckets; what is aggregated after the first pass is a table of ids' hashes and sizes, not texts.
 
 Ids that repeat share a hash and stay together; so do rows without an id.  A shard with one single hash cannot be
-split; if that is above the limit it is returned as ``oversized``.  Null texts have no bytes.  An empty table: no rows.
+split; if that is above the limit it is returned as ``oversized``, as is a single text above it (texts are never cut).
+Null and empty texts have no bytes.  There are no ties: a hash has one shard.  Other columns have no part, whatever
+their names.  An empty table: no rows.
 """
 
 from __future__ import annotations

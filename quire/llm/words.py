@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 #: A random value for each byte, and the base of the polynomial with its inverse modulo 2**64.
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
