@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import mixing, near_dedup, packing, quality_rules, substring_dedup
+from quire.llm.names import fresh
 from quire.llm.queries import TOKENIZER
 from quire.llm.scratch import Scratch, owned
 
@@ -50,8 +51,9 @@ def _measured(docs: DataFrame) -> DataFrame:
 @_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
-    judged = quality_rules.judge(docs, only_kept=True)
-    return _measured(judged.withColumn("text", F.col("judgement.cleaned")).select(*docs.columns))
+    (name,) = fresh(docs, "judgement")
+    judged = quality_rules.judge(docs, only_kept=True, name=name)
+    return _measured(judged.withColumn("text", F.col(name)["cleaned"]).select(*docs.columns))
 
 
 @_stage
