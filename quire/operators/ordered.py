@@ -77,6 +77,18 @@ def markdown(blocks: DataFrame, rendered: Column) -> DataFrame:
     return blocks.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["md"]), "\n\n").alias("markdown"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place in an order, from 0: sorted by ranges, counted within them, with the counts of the ranges before.
+
+    Only one row a range goes through a window without keys."""
+    at = rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id())  # the range in the upper bits, the place in the lower 33
+    ranges = at.groupBy(F.shiftright("_at", 33).alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_range", before.alias("_before"))
+    out = at.withColumn("_range", F.shiftright("_at", 33)).join(F.broadcast(ranges), "_range")  # as many rows as partitions
+    return out.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
 def budget(rows: DataFrame, keys: list[str], order: list[str], size: str, cap: int) -> DataFrame:
     """rows with the running total of a size and whether it is over a cap."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

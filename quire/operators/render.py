@@ -174,3 +174,18 @@ def middle(blocks: DataFrame) -> DataFrame:
     block = F.struct("block_idx", F.to_json(F.struct(F.col("kind").alias("type"), F.array("x0", "y0", "x1", "y1").alias("bbox"), F.col("block_idx").alias("index"), F.array(F.struct(spans(F.col("content")).alias("spans"))).alias("lines"))).alias("json"))
     joined = lambda keep: F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(keep, block))), lambda x: x["json"]), ","), F.lit("]"))
     return blocks.groupBy("doc_id", "page_idx").agg(joined(~chrome).alias("para_blocks"), joined(chrome).alias("discarded_blocks"))
+
+
+def published(blocks: DataFrame) -> DataFrame:
+    """(doc_id, markdown, content_list, content_list_v2, middle): what a document's files hold, from one pass over its blocks."""
+    keys = ["doc_id", "page_idx", "block_idx"]
+    second = v2_rows(blocks).select(*keys, F.col("row").alias("v2"))
+    listed = second.groupBy("doc_id", "page_idx").agg(F.sort_array(F.collect_list(F.struct("block_idx", "v2"))).alias("x"))
+    page = F.concat(F.lit("["), F.array_join(F.transform("x", lambda r: r["v2"]), ","), F.lit("]"))
+    pages = listed.select("doc_id", "page_idx", page.alias("v2"))
+    tree = F.concat(F.lit('{"page_idx":'), F.col("page_idx").cast("string"), F.lit(',"para_blocks":'), "para_blocks", F.lit(',"discarded_blocks":'), "discarded_blocks", F.lit("}"))
+    both = pages.join(middle(blocks).select("doc_id", "page_idx", tree.alias("tree")), ["doc_id", "page_idx"])
+    rows = F.sort_array(F.collect_list(F.struct("page_idx", "v2", "tree")))
+    one = lambda name: F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r[name]), ","), F.lit("]"))
+    whole = both.groupBy("doc_id").agg(one("v2").alias("content_list_v2"), F.concat(F.lit('{"pdf_info":'), one("tree"), F.lit("}")).alias("middle"))
+    return documents(blocks).join(whole, "doc_id")

@@ -151,7 +151,11 @@ def w5(t):
     return planning.windows(b, ["doc_id"], "p").select("doc_id", "page_idx", "block_idx", "window")
 
 
-@query("w5_byte_windows", "plan_docs")
+@query("w5_byte_windows", "plan_docs", sql=""", RECURSIVE_p AS (SELECT doc_id % 50 AS batch, doc_id::INTEGER AS page, bytes AS b, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS i FROM plan_docs WHERE bytes <= 100000),
+  run AS (SELECT batch, page, i, 0 AS "window", 1 AS n, b AS total FROM RECURSIVE_p WHERE i = 1
+    UNION ALL SELECT p.batch, p.page, p.i, r."window" + (r.n >= 4 OR r.total + p.b > 40000)::INTEGER, CASE WHEN r.n >= 4 OR r.total + p.b > 40000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n >= 4 OR r.total + p.b > 40000 THEN p.b ELSE r.total + p.b END
+    FROM run r JOIN RECURSIVE_p p ON p.batch = r.batch AND p.i = r.i + 1)
+  SELECT batch, page, "window" FROM run""".replace("RECURSIVE_p", "fits"))
 def w5b(t):
     p = t.plan_docs.select((F.col("doc_id") % 50).alias("batch"), F.col("doc_id").cast("int").alias("page"), "bytes")
     return planning.byte_windows(p, ["batch"], "page", "bytes", 4, 40_000, 100_000)

@@ -9,6 +9,7 @@ from quire import sinks
 from quire.functions import formulas, text
 from quire.operators import ordered, pages
 from quire.plans.registry import query
+from quire.plans.texts import _INLINE, _SPACED
 
 col, when, lit = F.col, F.when, F.lit  # short names: the rules below are mostly made of them
 
@@ -218,7 +219,7 @@ def w7(t):
 
 @query("s1_stable_input_order", "names", sql="SELECT id, (row_number() OVER (ORDER BY name, id) - 1)::INTEGER AS place FROM names")
 def s1(t):
-    return t.names.select("id", (F.row_number().over(Window.orderBy("name", "id")) - 1).alias("place"))
+    return ordered.numbered(t.names.select("id", "name"), ["name", "id"], "place").select("id", F.col("place").cast("int").alias("place"))
 
 
 @query("s2_node_order", "blocks", sql="SELECT doc_id, page_idx, string_agg(block_idx::VARCHAR, ',' ORDER BY y0, x0, block_idx) AS nodes FROM blocks GROUP BY ALL")
@@ -299,7 +300,7 @@ def f54(t):
     return p.select("doc_id", "page_idx", ((col("notes") <= 1) & F.exists("captions", text.is_continued)).alias("merges"))
 
 
-@query("f55_text_cleaner", "marked")
+@query("f55_text_cleaner", "marked", sql=f"SELECT doc_id, {_SPACED} AS s FROM (SELECT doc_id, {_INLINE} AS s FROM marked)")  # no text has blanks of its own
 def f55(t):
     return t.marked.select("doc_id", formulas.move_blanks_udf(text.clean_text(col("s"))).alias("s"))
 

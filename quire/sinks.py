@@ -8,7 +8,9 @@ from __future__ import annotations
 import os
 import shutil
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,27 +45,62 @@ def write_tables(tables: dict[str, DataFrame], root: str) -> None:
         frame.write.mode("overwrite").parquet(f"{root}/{name}")
 
 
-def publish(documents: DataFrame, root: str, profile: str = "vlm") -> int:
-    """Write {root}/{stem}/{profile}/{stem}.md and {stem}_content_list.json for rows (stem, markdown, content_list).
-
-    Rows come to the driver one by one, never all at once; each document's folder is built aside and swapped in."""
-    n = 0
-    for r in documents.select("stem", "markdown", "content_list").toLocalIterator():
-        target = os.path.join(root, r.stem, profile)
-        stage = f"{target}.{uuid.uuid4().hex}"
-        os.makedirs(stage)
-        for name, data in ((f"{r.stem}.md", r.markdown), (f"{r.stem}_content_list.json", r.content_list)):
-            with open(os.path.join(stage, name), "w", encoding="utf-8") as f:
-                f.write(data or "")
-        old = f"{stage}.old"
-        if os.path.isdir(target):
-            os.rename(target, old)
-        try:
-            os.rename(stage, target)
-        except OSError:
-            if os.path.isdir(old):
-                os.rename(old, target)  # the earlier files stay
-            raise
-        shutil.rmtree(old, ignore_errors=True)
-        n += 1
-    return n
+#: The files of a document, by the column that holds each.
+FILES = {"markdown": "{stem}.md", "content_list": "{stem}_content_list.json", "content_list_v2": "{stem}_content_list_v2.json", "middle": "{stem}_middle.json", "document": "{stem}_model.json"}
+
+
+class Folder:
+    """Files of a folder that all executors have mounted; another store needs the same five methods."""
+
+    def write(self, path: str, data: bytes) -> None:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(data)
+
+    def rename(self, old: str, new: str) -> None:
+        os.makedirs(os.path.dirname(new), exist_ok=True)
+        os.rename(old, new)
+
+    def exists(self, path: str) -> bool:
+        return os.path.exists(path)
+
+    def remove(self, path: str) -> None:
+        shutil.rmtree(path, ignore_errors=True)
+
+
+def _install(store: Folder, stage: str, target: str) -> None:
+    """The staged folder in place of the target's; if that fails, the earlier files stay."""
+    old = f"{stage}.old"
+    if store.exists(target):
+        store.rename(target, old)
+    try:
+        store.rename(stage, target)
+    except OSError:
+        if store.exists(old):
+            store.rename(old, target)
+        raise
+    store.remove(old)
+
+
+def publish(documents: DataFrame, root: str, profile: str = "vlm", store: Folder | None = None) -> int:
+    """Write {root}/{stem}/{profile}/ with a file for each column of FILES that documents (stem, ...) has; how many documents.
+
+    Each task writes its own documents: a folder is built aside, then swapped in by renames, so that a task that is run
+    again writes the same files.  Rows that repeat a stem are refused, as they would overwrite each other."""
+    if not documents.groupBy("stem").count().filter("count > 1").isEmpty():
+        raise ValueError("two documents with one stem")
+    store = store or Folder()
+    names = {c: f for c, f in FILES.items() if c in documents.columns}
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                target = os.path.join(root, row["stem"], profile)
+                stage = f"{target}.{uuid.uuid4().hex}"
+                for column, name in names.items():
+                    store.write(os.path.join(stage, name.format(stem=row["stem"])), (row[column] or "").encode())
+                _install(store, stage, target)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    done = documents.select("stem", *names).mapInPandas(write, "n long")
+    return done.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -82,4 +82,4 @@ def load(spark: SparkSession, sf_dir: str, name: str, whole: bool = False) -> Da
 def oracle(sql: str, *names: str, whole: bool = False) -> str:
     """sql over derived tables, for the oracle's engine."""
     made = TABLES | WHOLE if whole else TABLES
-    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({made[n][0]})" for n in names) + ("" if sql.lstrip().startswith(",") else " ") + sql
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS MATERIALIZED ({made[n][0]})" for n in names) + ("" if sql.lstrip().startswith(",") else " ") + sql

@@ -26,9 +26,10 @@ def expired(states: DataFrame, now: Column, hours: int = RETENTION_HOURS) -> Dat
 
 
 def evicted(states: DataFrame, most: int = MOST_RECORDS) -> DataFrame:
-    """The oldest terminal tasks beyond a number of records."""
-    w = Window.orderBy(F.desc("since"), F.desc("task_id"))
-    return states.filter(F.col("state").isin(*TERMINAL)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") > most).drop("rank")
+    """The oldest terminal tasks beyond a number of records: all but those that a descending sort with a limit keeps."""
+    done = states.filter(F.col("state").isin(*TERMINAL))
+    kept = done.orderBy(F.desc("since"), F.desc("task_id")).limit(most).select("task_id")
+    return done.join(kept, "task_id", "left_anti")
 
 
 def queued_ahead(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +39,9 @@ def queued_ahead(events: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def stream_states(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """The state changes of each task over a stream of (task_id, seq, ts, state); a terminal state ends the task."""
+    """The state changes of each task over a stream of (task_id, seq, ts, state); a terminal state ends the task.
+
+    Only ended tasks are forgotten, after RETENTION_HOURS: one that is still running may be idle for as long as it likes."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -52,7 +55,8 @@ def stream_states(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
                 changes.append((key[0], r.state, r.ts))
                 before = r.state
         state.update((before,))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + RETENTION_HOURS * 3_600_000)
+        if before in TERMINAL:
+            state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + RETENTION_HOURS * 3_600_000)
         if changes:
             yield pd.DataFrame(changes, columns=["task_id", "state", "since"])
 

@@ -104,6 +104,14 @@ def test_publish(spark, tmp_path):
         assert sinks.publish(docs, str(tmp_path)) == 2
     assert (tmp_path / "a/vlm/a.md").read_text() == "# one" and json.loads((tmp_path / "b/vlm/b_content_list.json").read_text()) == [1]
     assert sorted(os.listdir(tmp_path / "a")) == ["vlm"]
+    with pytest.raises(ValueError):
+        sinks.publish(docs.union(docs), str(tmp_path))
+    blocks = spark.createDataFrame([(1, p, b, k, 0, 0, 9, 9, c) for p, b, k, c in ((0, 0, "title", "T"), (0, 1, "header", "h"), (1, 0, "text", "words"))], "doc_id long, page_idx int, block_idx int, kind string, x0 int, y0 int, x1 int, y1 int, content string")
+    whole = render.published(blocks).withColumn("stem", F.lit("d"))
+    assert sinks.publish(whole, str(tmp_path)) == 1 and len(os.listdir(tmp_path / "d/vlm")) == 4
+    v2, tree = (json.loads((tmp_path / f"d/vlm/d_{n}.json").read_text()) for n in ("content_list_v2", "middle"))
+    assert [[b["type"] for b in page] for page in v2] == [["title", "page_header"], ["paragraph"]]
+    assert [(p["page_idx"], len(p["para_blocks"]), len(p["discarded_blocks"])) for p in tree["pdf_info"]] == [(0, 1, 1), (1, 1, 0)]
     have = spark.createDataFrame([(1, 0), (1, 1), (2, 0)], "doc_id long, page_idx int")
     want = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, 1)], "doc_id long, page_idx int")
     assert [r[0] for r in sinks.complete(have, want).collect()] == [1]
