@@ -89,6 +89,17 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return out.select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
 
 
+def with_placeholders(pages: DataFrame, expected: DataFrame) -> DataFrame:
+    """The pages (doc_id, page_idx, ...) with a row of nulls for each that is missing; expected: (doc_id, n_pages)."""
+    spine = expected.filter("n_pages > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("n_pages") - 1)).alias("page_idx"))
+    return spine.join(pages, ["doc_id", "page_idx"], "left")
+
+
+def overridden(rows: DataFrame, overrides: DataFrame, key: str, value: str) -> DataFrame:
+    """rows with a value: that of the overrides (key, value) if they name the row's key, else the key itself; keys name one at most."""
+    return rows.join(overrides.select(key, value), key, "left").withColumn(value, F.coalesce(value, key))
+
+
 def budget(rows: DataFrame, keys: list[str], order: list[str], size: str, cap: int) -> DataFrame:
     """rows with the running total of a size and whether it is over a cap."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

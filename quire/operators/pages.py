@@ -103,6 +103,14 @@ def without_containers(blocks: DataFrame) -> DataFrame:
     return _by_page(blocks, one, "kind string, content string")
 
 
+def consistent(pages: DataFrame, group: str, index: str, width: str, rendered: str, scale: int, least: int) -> DataFrame:
+    """pages with ``fine``: wider than ``least``, in strictly rising order of their indices within the group as they came, and rendered
+    to as many pixels as the scale asks for."""
+    before = F.lag(index).over(Window.partitionBy(group).orderBy(index))
+    rising = before.isNull() | (F.col(index) > before)
+    return pages.withColumn("fine", (F.col(width) > least) & rising & (F.ceil(F.col(width) * scale) == F.col(rendered)))
+
+
 def document_markdown(pages: DataFrame) -> DataFrame:
     """Layout text of pages to one Markdown a document: parse, drop what tables cover, render, join in order."""
     from quire.operators import layout, ordered, spatial

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.functions import geometry as g
+from quire.functions import geometry as g, service
 from quire.functions import requests
 from quire.operators import ordered, planning
 from quire.plans.registry import query
@@ -181,7 +181,7 @@ def s10(t):
 
 @query("s9_effective_concurrency", "plan_docs", sql="SELECT doc_id, least(64, greatest(first_page, 1), greatest(n_pages, 1)) AS n FROM plan_docs")
 def s9(t):
-    return t.plan_docs.select("doc_id", F.least(F.lit(64), F.greatest("first_page", F.lit(1)), F.greatest("n_pages", F.lit(1))).alias("n"))
+    return t.plan_docs.select("doc_id", service.concurrency(64, F.col("first_page"), F.col("n_pages")).alias("n"))
 
 
 @query("s11_priorities", "blocks", sql="SELECT doc_id, page_idx, block_idx, (row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY block_idx) - 1)::INTEGER AS priority FROM blocks")
@@ -191,9 +191,7 @@ def s11(t):
 
 @query("s12_over_cap_degradation", "blocks", sql="SELECT doc_id, page_idx, block_idx, CASE WHEN strlen(content) > 18 THEN '' ELSE content END AS content, CASE WHEN strlen(content) > 18 THEN concat('content of ', strlen(content), ' bytes is over the cap of 18') END AS warning FROM blocks")
 def s12(t):
-    n = F.octet_length("content")
-    warning = F.when(n > 18, F.concat(F.lit("content of "), n.cast("string"), F.lit(" bytes is over the cap of 18")))
-    return t.blocks.select("doc_id", "page_idx", "block_idx", F.when(n > 18, "").otherwise(F.col("content")).alias("content"), warning.alias("warning"))
+    return t.blocks.select("doc_id", "page_idx", "block_idx", service.capped(F.col("content"), 18).alias("c")).select("doc_id", "page_idx", "block_idx", "c.content", "c.warning")
 
 
 @query("d12_reply_scatter", "blocks", sql="SELECT b.doc_id, b.page_idx, b.block_idx, r.reply FROM blocks b LEFT JOIN (SELECT doc_id, page_idx, block_idx, upper(content) AS reply FROM blocks WHERE kind IN ('text', 'table') AND block_idx % 2 = 0) r USING (doc_id, page_idx, block_idx)")
@@ -229,9 +227,8 @@ def u4(t):
 
 @query("u5_placeholder_pages", "blocks", sql="SELECT d.doc_id, p.page_idx::INTEGER AS page_idx, coalesce(n, 0) AS n_blocks FROM (SELECT DISTINCT doc_id FROM blocks) d, range(6) p(page_idx) LEFT JOIN (SELECT doc_id, page_idx, count(*) AS n FROM blocks GROUP BY ALL) b ON b.doc_id = d.doc_id AND b.page_idx = p.page_idx")
 def u5(t):
-    spine = t.blocks.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("page_idx"))
-    n = t.blocks.groupBy("doc_id", "page_idx").agg(F.count("*").alias("n"))
-    return spine.join(n, ["doc_id", "page_idx"], "left").select("doc_id", "page_idx", F.coalesce("n", F.lit(0)).alias("n_blocks"))
+    n = t.blocks.groupBy("doc_id", "page_idx").agg(F.count("*").alias("n_blocks"))
+    return ordered.with_placeholders(n, t.blocks.select("doc_id", F.lit(6).alias("n_pages")).distinct()).select("doc_id", "page_idx", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"))
 
 
 @query("u6_artifact_sets", "blocks", sql="SELECT doc_id, count(DISTINCT page_idx) = count(DISTINCT page_idx) FILTER (WHERE kind = 'text') AS complete FROM blocks GROUP BY doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire import sinks
-from quire.functions import formulas, text
+from quire.functions import formulas, service, text
 from quire.operators import ordered, pages
 from quire.plans.registry import query
 from quire.plans.texts import _INLINE, _SPACED
@@ -17,19 +17,15 @@ col, when, lit = F.col, F.when, F.lit  # short names: the rules below are mostly
 @query("a18_native_reasons", "plan_docs", sql="""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_pages = 0 THEN 'empty_pdf' END, CASE WHEN n_pages > 20 THEN 'page_limit' END, CASE WHEN width % 7 = 0 THEN 'images_present' END, CASE WHEN width % 7 = 0 OR height % 5 = 0 THEN 'mixed_pdf' END,
   CASE WHEN height % 3 = 0 THEN 'ocr_required' END, CASE WHEN bytes < 9000 THEN 'low_confidence' END], lambda x: x IS NOT NULL), ',') AS reasons FROM plan_docs""")
 def a18(t):
-    codes = F.array(
-        when(col("n_pages") == 0, "empty_pdf"), when(col("n_pages") > 20, "page_limit"), when(col("width") % 7 == 0, "images_present"), when(col("width") % 7 == 0, "mixed_pdf"), when(col("height") % 5 == 0, "mixed_pdf"),
-        when(col("height") % 3 == 0, "ocr_required"), when(col("bytes") < 9000, "low_confidence"),
-    )
-    return t.plan_docs.select("doc_id", F.array_join(F.array_distinct(F.filter(codes, lambda x: x.isNotNull())), ",").alias("reasons"))
+    c = service.native_reasons(col("n_pages"), 20, col("width") % 7 == 0, col("height") % 5 == 0, col("height") % 3 == 0, col("bytes"), 9000)
+    return t.plan_docs.select("doc_id", F.array_join(c, ",").alias("reasons"))
 
 
 @query("a22_chat_requests", "responses", sql="""SELECT doc_id, concat('{"model":"m","temperature":', CASE WHEN doc_id % 2 = 0 THEN '0.5' ELSE '0.0' END, CASE WHEN doc_id % 3 = 0 THEN ',"top_k":1' ELSE '' END, ',"messages":[{"role":"system","content":"You are a helpful assistant."},{"role":"user","content":"', 'page ', doc_id, '"}]}') AS body FROM responses""")
 def a22(t):
-    request = when(col("doc_id") % 2 == 0, 0.5)  # the request's own value goes before the configured one
-    message = lambda role, c: F.struct(lit(role).alias("role"), c.alias("content"))
-    body = F.struct(lit("m").alias("model"), F.coalesce(request, lit(0.0)).alias("temperature"), when(col("doc_id") % 3 == 0, 1).alias("top_k"), F.array(message("system", lit("You are a helpful assistant.")), message("user", F.concat(lit("page "), col("doc_id").cast("string")))).alias("messages"))
-    return t.responses.select("doc_id", F.to_json(body).alias("body"))
+    asked = {"temperature": when(col("doc_id") % 2 == 0, 0.5), "top_k": when(col("doc_id") % 3 == 0, 1)}
+    body = service.chat_body("m", F.concat(lit("page "), col("doc_id").cast("string")), asked, {"temperature": 0.0, "top_k": None})
+    return t.responses.select("doc_id", body.alias("body"))
 
 
 _MAGIC = "CASE CAST(doc_id % 6 AS int) WHEN 0 THEN '89504E470D0A1A0A0000' WHEN 1 THEN 'FFD8FFE0' WHEN 2 THEN '4749463839' WHEN 3 THEN '424D0000' WHEN 4 THEN '524946460000000057454250' ELSE '00010203' END"
@@ -49,48 +45,44 @@ def a30(t):
 
 @query("a32_middle_reader", "blocks", sql="SELECT doc_id, page_idx, block_idx, kind FROM blocks")
 def a32(t):
+    from quire.sources import results
+
     block = F.struct(col("kind").alias("type"), col("block_idx").alias("index"))
     chrome = col("kind").isin("header", "footer", "page_number")
     page = t.blocks.groupBy("doc_id", "page_idx").agg(F.collect_list(when(~chrome, block)).alias("preproc_blocks"), F.collect_list(when(chrome, block)).alias("discarded_blocks"))
     files = page.groupBy("doc_id").agg(F.to_json(F.struct(F.collect_list(F.struct("page_idx", "preproc_blocks", "discarded_blocks")).alias("pdf_info"))).alias("json"))
-    schema = "pdf_info array<struct<page_idx:int,preproc_blocks:array<struct<type:string,index:int>>,discarded_blocks:array<struct<type:string,index:int>>>>"
-    one = files.select("doc_id", F.explode(F.from_json("json", schema)["pdf_info"]).alias("p"))
-    return one.select("doc_id", "p.page_idx", F.explode(F.concat("p.preproc_blocks", "p.discarded_blocks")).alias("b")).select("doc_id", "page_idx", col("b.index").alias("block_idx"), col("b.type").alias("kind"))
+    return results.middle_blocks(files, "doc_id", "json")
 
 
 @query("a33_submit_form", "plan_docs", sql="""SELECT doc_id, concat('backend=vlm-http-client&start_page_id=', first_page, '&end_page_id=', coalesce(last_page, 99999), '&return_md=', CASE WHEN doc_id % 2 = 0 THEN 'false' ELSE 'true' END, CASE WHEN doc_id % 3 = 0 THEN '&server_url=u' ELSE '' END) AS form FROM plan_docs""")
 def a33(t):
-    pair = lambda k, v: F.struct(lit(k).alias("k"), v.cast("string").alias("v"))
-    client, url = col("doc_id") % 2 == 0, when(col("doc_id") % 3 == 0, "u").otherwise("")
-    form = F.array(pair("backend", lit("vlm-http-client")), pair("start_page_id", col("first_page")), pair("end_page_id", F.coalesce("last_page", lit(99_999))), pair("return_md", ~client), pair("server_url", url))
-    kept = F.filter(form, lambda x: (x["k"] != "server_url") | (x["v"] != ""))
-    return t.plan_docs.select("doc_id", F.array_join(F.transform(kept, lambda x: F.concat(x["k"], lit("="), x["v"])), "&").alias("form"))
+    form = service.submit_form(col("first_page"), col("last_page"), when(col("doc_id") % 3 == 0, "u").otherwise(""), col("doc_id") % 2 == 0)
+    return t.plan_docs.select("doc_id", form.alias("form"))
 
 
 @query("a34_health", "plan_docs", sql="SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND n_pages > 1 AS healthy, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND n_pages > 1 THEN greatest(first_page, 1) END AS \"window\" FROM plan_docs")
 def a34(t):
     sent = F.to_json(F.struct(when(col("doc_id") % 3 != 0, "healthy").otherwise("busy").alias("status"), when(col("doc_id") % 4 != 0, 2).otherwise(1).alias("protocol_version"), (col("n_pages") - 1).alias("max_concurrent_requests"), col("first_page").alias("processing_window_size")))
-    h = t.plan_docs.select("doc_id", F.from_json(sent, "status string, protocol_version int, max_concurrent_requests int, processing_window_size int").alias("h"))
-    fine = (col("h.status") == "healthy") & (col("h.protocol_version") == 2) & (col("h.max_concurrent_requests") > 0)
-    return h.select("doc_id", fine.alias("healthy"), when(fine, F.greatest(col("h.processing_window_size"), lit(1))).alias("window"))
+    return t.plan_docs.select("doc_id", service.health(sent).alias("h")).select("doc_id", "h.healthy", "h.window")
 
 
 @query("a35_operator_pins", "plan_docs", sql="SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 ELSE true END AS formula, CASE WHEN doc_id % 5 = 0 THEN false ELSE doc_id % 7 = 0 END AS \"table\" FROM plan_docs")
 def a35(t):
-    pin = lambda pinned, own: F.coalesce(pinned, own)
-    return t.plan_docs.select("doc_id", pin(when(col("doc_id") % 3 == 0, col("doc_id") % 2 == 0), lit(True)).alias("formula"), pin(when(col("doc_id") % 5 == 0, lit(False)), col("doc_id") % 7 == 0).alias("table"))
+    formula = service.resolved(when(col("doc_id") % 3 == 0, col("doc_id") % 2 == 0), lit(True))
+    table = service.resolved(when(col("doc_id") % 5 == 0, lit(False)), col("doc_id") % 7 == 0)
+    return t.plan_docs.select("doc_id", formula.alias("formula"), table.alias("table"))
 
 
 @query("a38_inherited_attributes", sql="WITH RECURSIVE up AS (SELECT doc_id, doc_id AS node, 0 AS step FROM documents UNION ALL SELECT doc_id, node // 2 AS node, step + 1 AS step FROM up WHERE node > 0 AND node % 7 <> 3 AND step < 32) SELECT doc_id, arg_max(node, step) FILTER (WHERE node % 7 = 3) AS unit FROM up GROUP BY doc_id")
 def a38(t):
     # The chain of parents is cut at a fixed depth, which also ends cycles; a tree of that depth holds any document.
     chain = F.array(*[F.floor(col("doc_id") / 2**k).cast("long") for k in range(33)])
-    return t.documents.select("doc_id", F.get(F.filter(chain, lambda x: x % 7 == 3), lit(0)).alias("unit"))
+    return t.documents.select("doc_id", service.inherited(chain, lambda x: x % 7 == 3).alias("unit"))
 
 
 @query("a39_limit_resolution", "plan_docs", sql="SELECT doc_id, coalesce(last_page, CASE WHEN doc_id % 3 = 0 THEN 7 END, 64) AS most_pages FROM plan_docs")
 def a39(t):
-    return t.plan_docs.select("doc_id", F.coalesce("last_page", when(col("doc_id") % 3 == 0, 7), lit(64)).alias("most_pages"))
+    return t.plan_docs.select("doc_id", service.resolved(col("last_page"), when(col("doc_id") % 3 == 0, 7), lit(64)).alias("most_pages"))
 
 
 _ASSETS = """SELECT doc_id, concat(CASE WHEN l_linenumber = 7 THEN 'img/' ELSE 'images/' END, l_partkey % 20, CASE WHEN l_linenumber = 6 THEN '.' ELSE '.jpg' END) AS path, l_suppkey % 2 AS version, CAST(l_suppkey * 10 AS bigint) AS bytes FROM (SELECT *, CAST(floor(l_orderkey / 40) AS bigint) AS doc_id FROM lineitem) x"""
@@ -120,25 +112,22 @@ def b6(t):
 
 @query("b7_result_members", "plan_docs", sql="SELECT doc_id, kind FROM plan_docs, (VALUES ('md'), ('middle_json'), ('model'), ('content_list'), ('images')) m(kind) WHERE CASE kind WHEN 'md' THEN doc_id % 2 = 0 WHEN 'images' THEN doc_id % 3 = 0 WHEN 'content_list' THEN doc_id % 5 = 0 ELSE true END")
 def b7(t):
-    member = lambda kind, on: when(on, kind)
-    chosen = F.array(member("md", col("doc_id") % 2 == 0), member("middle_json", lit(True)), member("model", lit(True)), member("content_list", col("doc_id") % 5 == 0), member("images", col("doc_id") % 3 == 0))
-    return t.plan_docs.select("doc_id", F.explode(F.filter(chosen, lambda x: x.isNotNull())).alias("kind"))
+    wanted = {"md": col("doc_id") % 2 == 0, "images": col("doc_id") % 3 == 0, "content_list": col("doc_id") % 5 == 0}
+    return t.plan_docs.select("doc_id", F.explode(service.result_members(wanted)).alias("kind"))
 
 
 @query("b8_json_results", "plan_docs", sql="""SELECT doc_id, concat('{"backend":"vlm","version":"1","results":{"d', doc_id, '":{"md_content":"# ', n_pages, '"', CASE WHEN doc_id % 2 = 0 THEN ',"images":{"a.jpg":"data:image/jpeg;base64,eA=="}' ELSE '' END, '}}}') AS json FROM plan_docs""")
 def b8(t):
-    images = when(col("doc_id") % 2 == 0, F.create_map(lit("a.jpg"), F.concat(lit("data:image/jpeg;base64,"), F.base64(lit("x").cast("binary")))))
-    result = F.struct(F.concat(lit("# "), col("n_pages").cast("string")).alias("md_content"), images.alias("images"))
-    whole = F.struct(lit("vlm").alias("backend"), lit("1").alias("version"), F.map_from_entries(F.array(F.struct(F.concat(lit("d"), col("doc_id").cast("string")), result))).alias("results"))
-    return t.plan_docs.select("doc_id", F.to_json(whole).alias("json"))
+    images = when(col("doc_id") % 2 == 0, F.create_map(lit("a.jpg"), lit("x").cast("binary")))
+    json = service.json_result(F.concat(lit("d"), col("doc_id").cast("string")), F.concat(lit("# "), col("n_pages").cast("string")), images, "vlm", "1")
+    return t.plan_docs.select("doc_id", json.alias("json"))
 
 
 @query("c22_page_checks", "plan_docs", sql="SELECT doc_id, width > 300 AND (prev IS NULL OR doc_id > prev) AND ceil(width * 2)::INTEGER = width * 2 - CASE WHEN doc_id % 9 = 0 THEN 1 ELSE 0 END AS fine FROM (SELECT *, lag(doc_id) OVER (PARTITION BY doc_id % 10 ORDER BY doc_id) AS prev FROM plan_docs)")
 def c22(t):
-    before = F.lag("doc_id").over(Window.partitionBy(col("doc_id") % 10).orderBy("doc_id"))
     rendered = col("width") * 2 - when(col("doc_id") % 9 == 0, 1).otherwise(0)
-    p = t.plan_docs.withColumn("prev", before)
-    return p.select("doc_id", ((col("width") > 300) & (col("prev").isNull() | (col("doc_id") > col("prev"))) & (F.ceil(col("width") * 2) == rendered)).alias("fine"))
+    p = t.plan_docs.select((col("doc_id") % 10).alias("batch"), "doc_id", "width", rendered.alias("rendered"))
+    return pages.consistent(p, "batch", "doc_id", "width", "rendered", 2, 300).select("doc_id", "fine")
 
 
 @query("c23_empty_nodes", "blocks", sql="SELECT doc_id, page_idx, block_idx, kind NOT IN ('table', 'image', 'chart', 'code', 'image_block') AND (kind = 'list' OR content LIKE '%and') AS empty FROM blocks")
@@ -201,7 +190,7 @@ def w3(t):
 @query("d11_relationship_overrides", "names", sql="SELECT n.id, coalesce(o.kind, n.suffix) AS kind FROM names n LEFT JOIN (SELECT suffix, min(upper(suffix)) AS kind FROM names WHERE id % 3 = 0 GROUP BY suffix) o USING (suffix)")
 def d11(t):
     overrides = t.names.filter("id % 3 = 0").groupBy("suffix").agg(F.min(F.upper("suffix")).alias("kind"))
-    return t.names.join(overrides, "suffix", "left").select("id", F.coalesce("kind", "suffix").alias("kind"))
+    return ordered.overridden(t.names.select("id", "suffix"), overrides, "suffix", "kind").select("id", "kind")
 
 
 @query("e1_page_folds", "blocks", sql="SELECT doc_id, page_idx, count(*) AS n_blocks, count(DISTINCT kind) AS n_kinds, string_agg(kind, ',' ORDER BY block_idx) AS kinds FROM blocks GROUP BY ALL")
@@ -274,16 +263,13 @@ def f34(t):
 @query("f48_option_enums", "names", sql="SELECT id, CASE b WHEN 'pipeline' THEN b WHEN 'vlm-auto-engine' THEN 'vlm-engine' WHEN 'hybrid-engine' THEN b END AS backend FROM (SELECT id, split_part('pipeline,vlm-auto-engine,hybrid-engine,other', ',', CAST(id % 4 + 1 AS int)) AS b FROM names)")
 def f48(t):
     b = F.split_part(lit("pipeline,vlm-auto-engine,hybrid-engine,other"), lit(","), (col("id") % 4 + 1).cast("int"))
-    known = ("pipeline", "vlm-engine", "vlm-http-client", "hybrid-engine", "hybrid-http-client")
-    plain = F.regexp_replace(b, "^(vlm|hybrid)-auto-engine$", "$1-engine")
-    return t.names.select("id", when(plain.isin(*known), plain).alias("backend"))
+    return t.names.select("id", service.backend(b).alias("backend"))
 
 
 @query("f49_json_truthiness", sql="SELECT doc_id, v, v IN ('1', '\"a\"', '[0]', 'true', '{\"a\":0}') AS truthy FROM (SELECT doc_id, split_part('0|1|\"\"|\"a\"|[]|[0]|true|false|null|{}|{\"a\":0}|0.0', '|', CAST(doc_id % 12 + 1 AS int)) AS v FROM documents) x")
 def f49(t):
     v = F.split_part(lit('0|1|""|"a"|[]|[0]|true|false|null|{}|{"a":0}|0.0'), lit("|"), (col("doc_id") % 12 + 1).cast("int"))
-    false = v.isin("null", "false", '""', "[]", "{}") | (v.try_cast("double") == 0)
-    return t.documents.select("doc_id", v.alias("v"), (~F.coalesce(false, lit(False))).alias("truthy"))
+    return t.documents.select("doc_id", v.alias("v"), service.truthy(v).alias("truthy"))
 
 
 @query("f50_form_values", "names", sql="SELECT id, CASE v WHEN 'true' THEN true WHEN 'false' THEN false END AS flag, CASE WHEN regexp_matches(v, '^(0|[1-9][0-9]*)$') THEN v::BIGINT END AS page, CASE WHEN regexp_matches(trim(v), '^[0-9]+(_[0-9]+)*$') AND replace(trim(v), '_', '')::BIGINT > 0 THEN replace(trim(v), '_', '')::BIGINT END AS bytes FROM (SELECT id, split_part('true|false|True|0|007|12|1_000|_1|1__2| 5 |x', '|', CAST(id % 11 + 1 AS int)) AS v FROM names) y")

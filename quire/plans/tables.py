@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import formulas, tables
+from quire.functions import formulas, tables, text
 from quire.operators import render
 from quire.plans.registry import query
 from quire.plans.texts import _STRIP
@@ -68,8 +68,7 @@ def f36(t):
 
 @query("f37_span_attributes", "marked", sql="""SELECT doc_id, coalesce(nullif(regexp_extract(s, 'colspan="([1-9][0-9]*)"', 1), '')::INTEGER, 1) AS colspan, contains(s, '<table') AS is_table FROM marked""")
 def f37(t):
-    span = F.coalesce(F.nullif(F.regexp_extract("s", 'colspan="([1-9][0-9]*)"', 1), F.lit("")).cast("int"), F.lit(1))
-    return t.marked.select("doc_id", span.alias("colspan"), F.contains("s", F.lit("<table")).alias("is_table"))
+    return t.marked.select("doc_id", text.span_attribute(F.col("s"), "colspan").alias("colspan"), F.contains("s", F.lit("<table")).alias("is_table"))
 
 
 @query("f31_entity_decode")

@@ -137,3 +137,8 @@ def test_stream_of_task_states(spark, tmp_path):
     got = {(r.task_id, r.state) for r in spark.table("states").collect()}
     assert got == {(1, "pending"), (1, "processing"), (1, "completed"), (2, "pending")}
     assert {(r.task_id, r.state) for r in tasks.current(events).collect()} == {(1, "completed"), (2, "pending")}
+
+
+@pytest.mark.parametrize("tag, n, wanted", [('<td colspan="2" a="b">', 1, '<td a="b">'), ("<td>", 3, '<td colspan="3">'), ('<td a="b" colspan="2">', 4, '<td a="b" colspan="4">')])
+def test_spans_of_tags(spark, tag, n, wanted):
+    assert value(spark, lambda c: text.with_span(c, "colspan", F.lit(n)), tag) == wanted
