@@ -255,9 +255,7 @@ def f19(t):
 @query("f34_inline_images", "marked", sql="""SELECT doc_id, concat('images/', sha256(concat('data:image/png;base64,', to_base64(encode(doc_id::VARCHAR)))), '.png') AS path FROM marked""")
 def f34(t):
     html = F.concat(lit('<img src="data:image/png;base64,'), F.base64(col("doc_id").cast("string").cast("binary")), lit('"/>'))
-    uri = F.regexp_extract(html, 'src="(data:image/[^"]+)"', 1)
-    ext = F.lower(F.regexp_extract(uri, "data:image/([^;+]+)", 1))
-    return t.marked.select("doc_id", F.concat(lit("images/"), F.sha2(uri, 256), lit("."), when(ext == "jpeg", "jpg").otherwise(ext)).alias("path"))
+    return t.marked.select("doc_id", F.concat(lit("images/"), text.inline_images(html)[0]["name"]).alias("path"))
 
 
 @query("f48_option_enums", "names", sql="SELECT id, CASE b WHEN 'pipeline' THEN b WHEN 'vlm-auto-engine' THEN 'vlm-engine' WHEN 'hybrid-engine' THEN b END AS backend FROM (SELECT id, split_part('pipeline,vlm-auto-engine,hybrid-engine,other', ',', CAST(id % 4 + 1 AS int)) AS b FROM names)")

@@ -142,3 +142,14 @@ def test_stream_of_task_states(spark, tmp_path):
 @pytest.mark.parametrize("tag, n, wanted", [('<td colspan="2" a="b">', 1, '<td a="b">'), ("<td>", 3, '<td colspan="3">'), ('<td a="b" colspan="2">', 4, '<td a="b" colspan="4">')])
 def test_spans_of_tags(spark, tag, n, wanted):
     assert value(spark, lambda c: text.with_span(c, "colspan", F.lit(n)), tag) == wanted
+
+
+def test_images_held_in_html(spark):
+    import hashlib
+
+    good, vector, bad = "data:image/jpeg;base64,e%HV%h", "data:image/x-emf;base64,eHh4", "data:image/png;base64,e"
+    html = f'<img src="{good}"/><img src="{good}"/><img src="{vector}"/><img src="{bad}"/><img src="a.png"/>'
+    name = hashlib.sha256(good.encode()).hexdigest() + ".jpg"
+    row = spark.range(1).select(text.inline_images(F.lit(html)).alias("i")).select("i", text.with_image_names(F.lit(html), F.col("i")).alias("h")).first()
+    assert [(x.uri, x.name, bytes(x.data)) for x in row.i] == [(good, name, b"xua")]
+    assert row.h == html.replace(good, name)
