@@ -560,6 +560,37 @@ def test_dual_coordinate_descent_separates():
     assert all((w[s].sum() / np.sqrt(len(s)) + b) * t > 0 for s, t in zip(sets, y, strict=True))
 
 
+def test_the_fit_equals_a_plain_solver(monkeypatch):
+    """The same dual problem by projected gradient steps on the whole matrix."""
+    monkeypatch.setattr(quality_model, "EPOCHS", 3000)
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 12, 5)) for _ in range(30)]
+    values = [rng.normal(size=len(s)) for s in sets]
+    y = np.where(rng.random(30) < 0.3, 1.0, -1.0)
+    w, b = quality_model.hinge_fit(sets, values, y)
+    x = np.zeros((30, 13))
+    x[:, 12] = 1  # the bias
+    for row, s, v in zip(x, sets, values, strict=True):
+        row[s] = v
+    share = np.array([(y < 0).mean(), (y > 0).mean()])
+    top = quality_model.PENALTY * 0.5 / share[(y > 0).astype(int)]
+    q = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha, step = np.zeros(30), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(50_000):
+        alpha = np.clip(alpha + step * (1 - q @ alpha), 0, top)
+    wanted = (alpha * y) @ x
+    assert np.abs(np.append(w[:12], b) - wanted).max() < 1e-3
+
+
+def test_log_ratios_by_hand():
+    sets, y = [np.array([0, 1]), np.array([1]), np.array([1, 2])], np.array([1.0, 1.0, -1.0])
+    got = quality_model.log_ratios(sets, y)
+    n = quality_model.FEATURES
+    good, bad = {0: 2, 1: 3}, {1: 2, 2: 2}
+    for f in (0, 1, 2, 5):
+        assert np.isclose(got[f], math.log(good.get(f, 1) / (n + 3)) - math.log(bad.get(f, 1) / (n + 2)))
+
+
 # 9 quality rules
 
 
